@@ -58,7 +58,7 @@ def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(ddl), timezone="UTC")
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 def unit_draw(text: Column) -> Column:
