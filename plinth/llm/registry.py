@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: module -> (query, SQL constant or None)
 MODULES = {
+    "secrets": ("op3_secret_scans", None),
     "bpe": ("op4_bpe", None),
     "sharding": ("op6_sharding", "OP6_SQL"),
     "mixing": ("op9_mixing", "OP9_SQL"),
