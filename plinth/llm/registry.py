@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: module -> (query, SQL constant or None)
 MODULES = {
+    "simhash": ("op2_simhash_near_dedup", None),
     "topk": ("op7_exact_topk", "OP7_SQL"),
     "secrets": ("op3_secret_scans", None),
     "bpe": ("op4_bpe", None),
