@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +34,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir; where that is unset (tests), a local one."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return given or os.path.join(tempfile.gettempdir(), "plinth-checkpoints")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet under the shared folder and read again: a smaller checkpoint() for many rows. What was shuffled for it can then go. The folder is removed when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/plinth-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner see that the shuffle files behind `df` have no reader left
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text leaves 2 when divided by 4. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
