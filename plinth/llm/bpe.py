@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,9 +18,11 @@ from .common import map_columns, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Encoded words kept by a worker; beyond it the store is emptied and fills anew, so memory stays bounded.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 #: Children of a tree node. Wide nodes keep the tree of a usual word one level high; an update still costs a logarithm of the length.
 FANOUT = 16
+#: The rank of a pair that can't be merged.
+NEVER = 1 << 40
 
 # How the vocabulary's file cuts text into words, and Unicode's white space.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -49,18 +53,33 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+class Kept(dict):
+    """What `make` gives for a text, kept while there is room; long texts aren't kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, text: str):
+        found = self.make(text)
+        if len(text) <= 64:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class PairTree:
     """A segment tree of wide nodes over the ranks of adjacent pairs: the root is the least of (rank, place), and setting a place renews one node a level."""
 
-    def __init__(self, keys: list[int], never: int):
+    def __init__(self, keys: list[int]):
         self.levels = [keys]
         while len(self.levels[-1]) > FANOUT:
             below = self.levels[-1]
             self.levels.append([min(below[i : i + FANOUT]) for i in range(0, len(below), FANOUT)])
-        self.never = never
 
     def least(self) -> int:
-        return min(self.levels[-1], default=self.never)
+        return min(self.levels[-1])
 
     def set(self, place: int, key: int) -> None:
         levels = self.levels
@@ -85,15 +104,18 @@ class Tokenizer:
         self.tokens = [""] * size
         for token, k in (vocabulary | self.specials).items():
             self.tokens[k] = token
-        self.merges = {}
+        self.merges: dict[int, int] = {}  # ids of a pair -> rank
+        self.made: list[int] = []  # rank -> id
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocabulary[a] << 20 | vocabulary[b]] = (rank, vocabulary[a + b])
+            self.merges[vocabulary[a] << 20 | vocabulary[b]] = rank
+            self.made.append(vocabulary[a + b])
         characters = byte_characters()
         self.inner = [vocabulary[c] for c in characters]
         self.last = [vocabulary[c + self.suffix] for c in characters]
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")")
-        self.words: dict[str, bytes] = {}
+        self.pieces = Kept(self.piece)  # the same piece comes in many words, capital or with other marks around it
+        self.words = Kept(self.word)
 
     def merge(self, octets: bytes) -> list[int]:
         """The ids of one piece: while any pair can be merged, merge the leftmost of the lowest rank."""
@@ -102,40 +124,39 @@ class Tokenizer:
         n = len(ids)
         if n == 1:
             return ids
-        merges, never = self.merges, 1 << 62
-        keys = [(m[0] * n + i) if (m := merges.get(ids[i] << 20 | ids[i + 1])) else never for i in range(n - 1)]
-        tree = PairTree(keys, never)
+        rank_of, made, never = self.merges.get, self.made, NEVER * n
+        keys = [rank_of(a << 20 | b, NEVER) * n + i for i, (a, b) in enumerate(zip(ids, ids[1:]))]  # the least key is the leftmost of the lowest rank
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (least := tree.least()) != never:
-            i = least % n
+        # Up to FANOUT pairs the tree is one node: its least key is the root, and a set place is the whole update.
+        tree = PairTree(keys) if n - 1 > FANOUT else None
+        put = tree.set if tree else keys.__setitem__
+        while (least := tree.least() if tree else min(keys)) < never:
+            rank, i = divmod(least, n)
             j = after[i]
-            ids[i] = merges[ids[i] << 20 | ids[j]][1]
+            a = ids[i] = made[rank]
             ids[j] = -1
             k = after[i] = after[j]
-            if j < n - 1:
-                tree.set(j, never)
             if k < n:
+                put(j, never)
                 before[k] = i
-                tree.set(i, m[0] * n + i if (m := merges.get(ids[i] << 20 | ids[k])) else never)
+                put(i, rank_of(a << 20 | ids[k], NEVER) * n + i)
             else:
-                tree.set(i, never)
+                if j < n - 1:
+                    put(j, never)
+                put(i, never)
             if (h := before[i]) >= 0:
-                tree.set(h, m[0] * n + h if (m := merges.get(ids[h] << 20 | ids[i])) else never)
+                put(h, rank_of(ids[h] << 20 | a, NEVER) * n + h)
         return [x for x in ids if x >= 0]
 
+    def piece(self, piece: str) -> list[int]:
+        return self.merge(piece.encode("utf-8"))
+
     def word(self, word: str) -> bytes:
         """The ids of a run without white space, as little-endian 32-bit numbers."""
-        found = self.words.get(word)
-        if found is None:
-            ids: list[int] = []
-            for piece in PIECES.findall(word.lower()) if word.isascii() else _pieces(word):
-                ids += self.merge(piece.encode("utf-8"))
-            found = np.array(ids, "<u4").tobytes()
-            if len(word) <= 64:
-                if len(self.words) >= KEPT_WORDS:
-                    self.words.clear()
-                self.words[word] = found
-        return found
+        ids: list[int] = []
+        for piece in PIECES.findall(word.lower()) if word.isascii() else _pieces(word):
+            ids += self.pieces[piece]
+        return little(ids)
 
     def encode_bytes(self, text: str) -> bytes:
         out = []
@@ -143,7 +164,7 @@ class Tokenizer:
             if k % 2:
                 out.append(self.specials[part].to_bytes(4, "little"))
             else:
-                out += map(self.word, GAPS.split(part) if _odd(part) else part.split())
+                out += map(self.words.__getitem__, GAPS.split(part) if _odd(part) else part.split())
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
@@ -163,6 +184,13 @@ def _pieces(word: str) -> list[str]:
     return [word[m.start() : m.end()] for m in PIECES.finditer(NEWER.sub("\ue000", word))]
 
 
+def little(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 _CONTROLS = regex.compile(r"[\x1c-\x1f]")
 
 
