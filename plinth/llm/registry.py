@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: module -> (query, SQL constant or None)
 MODULES = {
+    "syncmers": ("op10_fingerprints", None),
     "substrings": ("op8_substring_dedup", "OP8_SQL"),
     "simhash": ("op2_simhash_near_dedup", None),
     "topk": ("op7_exact_topk", "OP7_SQL"),
