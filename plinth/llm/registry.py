@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: module -> (query, SQL constant or None)
 MODULES = {
+    "toxicity": ("op5_toxicity", None),
     "langid": ("op1_language_id", None),
     "syncmers": ("op10_fingerprints", None),
     "substrings": ("op8_substring_dedup", "OP8_SQL"),
