@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_columns, table
+from .common import filter_rows, held_out, map_columns, table
 
 UNKNOWN = "und"
 WINDOW = 128
@@ -30,6 +30,8 @@ SAMPLE = 1000
 #: Excerpts of a sampled text and characters of each: one from its start, the others from places drawn by hash.
 EXCERPTS, EXCERPT = 3, 160
 EPOCHS, BATCH, RATE = 6, 64, 0.01
+#: A filter keeps texts whose best language has this share or more.
+LEAST_SCORE = 0.35
 #: Windows scored at once.
 BLOCK = 512
 
@@ -178,6 +180,16 @@ def predict(df: DataFrame, network: Network | None, key: str = "doc_id", text: s
     return map_columns(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def accepted(df: DataFrame, network: Network | None, text: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `df`, with all their columns, whose text is in a language the network knows: not `und`, and with a score of `least_score` or more."""
+    sent = df.sparkSession.sparkContext.broadcast(network)
+
+    def keep(texts: list) -> list[bool]:
+        return [lang != UNKNOWN and score >= least_score for lang, score in zip(*classify(texts, sent.value), strict=True)]
+
+    return filter_rows(df, text, keep)
+
+
 _FOLDED: dict[bytes, tuple] = {}
 
 

@@ -20,7 +20,9 @@ MODULES = {
 
 
 def queries() -> dict:
-    return {query: getattr(import_module(f"{__package__}.{module}"), query) for module, (query, _) in MODULES.items()}
+    import corpus_pipeline
+
+    return {query: getattr(import_module(f"{__package__}.{module}"), query) for module, (query, _) in MODULES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

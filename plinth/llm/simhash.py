@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import durable, map_columns, schema_of, table
 from .components import components
@@ -253,5 +254,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return rows.join(classes, rows["print"] == classes["class_print"]).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df`, with all their columns, that stand for their component: the row of the least id, and where rows share that id the one of the least text."""
+    kept = near_duplicates(df, key, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    rows = df.join(kept, F.col(key).eqNullSafe(F.col("__kept_id")), "left_semi")
+    first = Window.partitionBy(key).orderBy(text)
+    return rows.withColumn("__place", F.row_number().over(first)).filter("__place = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
