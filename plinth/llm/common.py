@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space as the contracts define it.
 SPACES = b" \t\n\x0b\x0c\r"
+#: With it on, a query's shuffle files go when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows turned into Python objects at a time, so that memory follows a few texts and not a whole Arrow batch.
 SLICE = 256
 
@@ -44,11 +45,22 @@ def stored(df: DataFrame) -> DataFrame:
     """`df` written as Parquet under the shared folder and read again: a smaller checkpoint() for many rows. What was shuffled for it can then go. The folder is removed when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plinth-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     atexit.register(_remove, spark, path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner see that the shuffle files behind `df` have no reader left
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
+
+
+def forget(*frames: DataFrame) -> None:
+    """Remove what stored() wrote for frames that nothing will read any more."""
+    for df in frames:
+        _remove(df.sparkSession, df.stored_at)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -80,6 +92,16 @@ def map_columns(df: DataFrame, function: Callable[[dict], dict], schema: str, ro
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]], rows: int = SLICE) -> DataFrame:
+    """The rows of `df` for whose values of `column` `keep` says so; all columns pass as they are, whatever their names and types."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, rows):
+            yield part.filter(pa.array(keep(part.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

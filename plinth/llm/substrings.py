@@ -15,19 +15,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns, schema_of, slices, stored, table
+from .common import forget, map_columns, schema_of, slices, stored, table
 
 WINDOW = 13
 GRAM = 5
 DEPTH = 2
-#: Cells in each row of the sketch: at least two for each least gram of the corpus, a power of two, but never more than this. A fuller sketch lets more windows through to the exact grouping; it loses none.
+#: Cells in each row of the sketch: at least four for each least gram of the corpus, a power of two, but never more than this. A fuller sketch lets more windows through to the exact grouping; it loses none.
 MOST_CELLS = 1 << 29
 LEAST_CELLS = 1 << 18
 CHUNK_BYTES = 1 << 19
@@ -60,14 +59,28 @@ _HASHES = Hashes()
 
 
 def least_grams(words: list[bytes]) -> np.ndarray:
-    """For each window, the least hash among its grams."""
+    """The least hash among the grams of the window that starts at each word."""
+    if len(words) < WINDOW:
+        return np.empty(0, np.uint64)
     a = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     pairs = _mix(a[:-1], a[1:])
     grams = _mix(_mix(pairs[:-3], pairs[2:-1]), a[4:])
-    n = len(words) - WINDOW + 1
     two = np.minimum(grams[:-1], grams[1:])
     four = np.minimum(two[:-2], two[2:])
-    return np.minimum(np.minimum(four[:-5], four[4:-1]), grams[8:])[:n]
+    return np.minimum(np.minimum(four[:-5], four[4:-1]), grams[8:])
+
+
+def laid_out(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of several texts one after another; for each window inside a text: its first word among these, its text, and its first word in the text."""
+    words: list[bytes] = []
+    ends = []
+    for text in texts:
+        words += split(text)
+        ends.append(len(words))
+    sizes = np.maximum(np.diff([0, *ends]) - WINDOW + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return words, place + np.array([0, *ends[:-1]], np.int64)[owner], owner, place
 
 
 def cells_of(grams: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -116,15 +129,19 @@ def merged_sketch(texts: DataFrame, cells: int) -> np.ndarray:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, waiting, n = Sketch(cells), [], 0
         for part in slices(batches):
-            for text in part.column(0).to_pylist():
-                words = split(text)
-                if len(words) >= WINDOW:
-                    own = np.unique(least_grams(words))
-                    waiting.append(own)
-                    n += len(own)
-                    if n > 1_000_000:
-                        sketch.add(np.concatenate(waiting))
-                        waiting, n = [], 0
+            words, first, owner, _ = laid_out(part.column(0).to_pylist())
+            if not len(first):
+                continue
+            grams = least_grams(words)[first]
+            changes = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])]))
+            grams, owner = grams[changes], owner[changes]
+            order = np.lexsort((grams, owner))  # once a document
+            grams, owner = grams[order], owner[order]
+            waiting.append(grams[np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])])])
+            n += len(waiting[-1])
+            if n > 1_000_000:
+                sketch.add(np.concatenate(waiting))
+                waiting, n = [], 0
         if waiting:
             sketch.add(np.concatenate(waiting))
         once, more = sketch.once.reshape(-1), sketch.twice.reshape(-1)
@@ -147,36 +164,27 @@ def merged_sketch(texts: DataFrame, cells: int) -> np.ndarray:
     return whole.reshape(DEPTH, -1)
 
 
-def candidates(texts: DataFrame, sent, cells: int, places: bool) -> DataFrame:
-    """Windows that may be repeated, by digest: (high, low, doc_id), each once a document; with `places`, each occurrence with (tag, place)."""
+def candidates(texts: DataFrame, sent, cells: int) -> DataFrame:
+    """(high, low, doc_id, tag_place) of each window that may be repeated: its 128-bit digest, its document, and tag << 32 | first word."""
     import xxhash
 
-    schema = "high long, low long, doc_id long" + ", tag_place long" * places
+    schema = "high long, low long, doc_id long, tag_place long"
     arrow = schema_of(texts.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for part in slices(batches):
-            found, ids, at = [], [], []
-            for doc_id, tag, text in zip(part.column("doc_id").to_pylist(), part.column("tag").to_pylist(), part.column("text").to_pylist(), strict=True):
-                words = split(text)
-                if len(words) < WINDOW:
-                    continue
-                own = np.flatnonzero(twice(sent.value, least_grams(words), cells))
-                if not len(own):
-                    continue
-                line, ends = b" ".join(words), list(accumulate(map(len, words), lambda a, n: a + n + 1))
-                starts = [0, *(e + 1 for e in ends)]
-                digests = [digest(line[starts[i] : ends[i + WINDOW - 1]]) for i in own.tolist()]
-                if not places:
-                    digests = list(dict.fromkeys(digests))
-                else:
-                    at.append(own.astype(np.int64) | np.int64(tag) << 32)
-                found += digests
-                ids.append(np.full(len(digests), doc_id, np.int64))
-            if found:
-                pairs = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.concatenate(ids)), *([pa.array(np.concatenate(at))] if places else [])], schema=arrow)
+            words, first, owner, place = laid_out(part.column("text").to_pylist())
+            may = twice(sent.value, least_grams(words)[first], cells) if len(first) else np.empty(0, bool)
+            if not may.any():
+                continue
+            first, owner, place = first[may], owner[may], place[may]
+            line = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            found = b"".join([digest(line[a:b]) for a, b in zip(starts[first].tolist(), ends[first + WINDOW - 1].tolist(), strict=True)])
+            pairs = np.frombuffer(found, "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), part.column("doc_id").take(pa.array(owner)), pa.array(np.asarray(part.column("tag")).astype(np.int64)[owner] << 32 | place)], schema=arrow)
 
     return texts.mapInArrow(run, schema)
 
@@ -197,12 +205,14 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     size = digests.agg(F.sum("chars").alias("chars")).first()["chars"] or 0
     n_copies = copies.count()
     texts = _without(rows, copies, n_copies)
-    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (2 * size // 30).bit_length()))  # about 6 characters a word, and a new least gram every 5 words
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * size // 30).bit_length()))  # about 6 characters a word, and a new least gram every 5 words
     sent = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), cells))
-    least = candidates(texts, sent, cells, False).groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    met = stored(candidates(texts.select("doc_id", "tag", "text"), sent, cells))
+    least = met.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     windows = stored(least.filter("first_id < last_id").select("high", "low", "first_id"))
-    hits = candidates(texts, sent, cells, True).join(windows, ["high", "low"]).filter("doc_id > first_id").select("doc_id", "tag_place")
-    places = hits.groupBy("doc_id", F.shiftright("tag_place", 32).cast("int").alias("tag")).agg(F.collect_list(F.col("tag_place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("places"))
+    hits = met.join(windows, ["high", "low"]).filter("doc_id > first_id").select("doc_id", "tag_place")
+    places = stored(hits.groupBy("doc_id", F.shiftright("tag_place", 32).cast("int").alias("tag")).agg(F.collect_list(F.col("tag_place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("places")))
+    forget(met, windows, digests, groups)
     marks = places.unionByName(copies.select(F.col("copy_id").alias("doc_id"), F.col("copy_tag").alias("tag"), F.array(F.lit(-1)).alias("places")))
     return rows.join(marks, ["doc_id", "tag"], "left")
 
