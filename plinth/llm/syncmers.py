@@ -1,13 +1,16 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A k-mer is an anchor (a closed syncmer) if the least hash among its s-mers is that of its first or
-last one. Whether it is one depends on its own characters alone, so a passage has the same anchors
-wherever it stands. The fingerprint keeps, for each of 64 bins of anchor hashes, the least value;
-the share of bins in which two fingerprints agree estimates the likeness of their anchor sets.
+A k-mer of a text's UTF-8 bytes is an anchor (a closed syncmer) if the least hash among its s-mers
+is that of its first or last one. Whether it is one depends on its own bytes alone, so a passage has
+the same anchors wherever it stands. The fingerprint keeps, for each of 64 bins of anchor hashes,
+the least value; the share of bins in which two fingerprints agree estimates the likeness of their
+anchor sets.
 
 Being free of context, anchors also compose: those of an edited text are the anchors inside the
 part that is kept, those inside the part that is put in, and the few across the seam. Only the
 last are computed anew.
+
+A fingerprint's entries are longs, the bin in the bits from 32 on and the value below.
 """
 
 from __future__ import annotations
@@ -20,33 +23,41 @@ from .common import durable, table
 
 K, S = 12, 8
 BINS = 64
-#: Texts are cut into pieces of so many characters (plus the overlap), so that taking a substring doesn't walk the whole text.
-PIECE = 32
-PIECES = f"(?s)(?=(.{{1,{PIECE + K - 1}}})).{{1,{PIECE}}}"
+#: Bytes of a text whose places are listed at a time, so that no list of places is as long as a text.
+BLOCK = 4096
 
 
-def is_anchor(text: Column, at: Column) -> Column:
+def is_anchor(octets: Column, at: Column) -> Column:
     """Whether the k-mer at 1-based `at` is a closed syncmer: no inner s-mer hashes lower than both at the edges."""
-    hashes = [F.xxhash64(F.substring(text, at + i, F.lit(S))) for i in range(K - S + 1)]
+    hashes = [F.xxhash64(F.substring(octets, at + i, F.lit(S))) for i in range(K - S + 1)]
     return F.least(*hashes[1:-1]) >= F.least(hashes[0], hashes[-1])
 
 
-def _value(hashed: Column) -> Column:
-    """What a bin keeps of a hash: its upper 32 bits, as int."""
-    return F.shiftright(hashed, 32).cast("int")
+def _hash(octets: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(octets, at, F.lit(K)))
 
 
 def _bin(hashed: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(BINS - 1)).cast("int")
+    return hashed.bitwiseAND(F.lit(BINS - 1))
+
+
+def _entry(hashed: Column) -> Column:
+    return F.shiftleft(_bin(hashed), 32).bitwiseOR(F.shiftrightunsigned(hashed, 32))
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), the value computed once."""
+    return F.transform(F.array(value), use)[0]
 
 
 def anchors(texts: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` with place (0-based code point) and hash of each anchor of `text`."""
-    pieces = texts.select(*keep, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(1))).alias("piece_no", "piece"))
-    pieces = pieces.filter(F.char_length("piece") >= K)
-    starts = pieces.select(*keep, "piece_no", "piece", F.explode(F.sequence(F.lit(1), F.char_length("piece") - (K - 1))).alias("at"))
-    found = starts.filter(is_anchor(F.col("piece"), F.col("at")))
-    return found.select(*keep, (F.col("piece_no") * PIECE + F.col("at") - 1).alias("place"), F.xxhash64(F.substring(F.col("piece"), F.col("at"), F.lit(K))).alias("hash"))
+    """The columns `keep` with place (0-based byte) and hash of each anchor of `text`."""
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.octet_length(text) - K) / BLOCK), F.lit(0)).cast("int"))
+    cut = _let(F.col(text).cast("binary"), lambda b: F.transform(blocks, lambda j: F.struct((j * BLOCK).alias("start"), F.substring(b, j * BLOCK + 1, F.lit(BLOCK + K - 1)).alias("octets"))))
+    pieces = texts.select(*keep, F.explode(cut).alias("piece")).select(*keep, "piece.start", "piece.octets").filter(F.octet_length("octets") >= K)
+    places = pieces.select(*keep, "start", "octets", F.explode(F.sequence(F.lit(1), F.octet_length("octets") - (K - 1))).alias("at"))
+    found = places.filter(is_anchor(F.col("octets"), F.col("at")))
+    return found.select(*keep, (F.col("start") + F.col("at") - 1).alias("place"), _hash(F.col("octets"), F.col("at")).alias("hash"))
 
 
 def chained(rows: DataFrame) -> DataFrame:
@@ -73,37 +84,32 @@ def chained(rows: DataFrame) -> DataFrame:
     return linked.select(F.col("doc_id").alias("own_id"), F.col("tag").alias("own_tag"), "n", F.coalesce("prior", "before").alias("prior"), F.coalesce("next", "after").alias("next"))
 
 
-def _binned(values: Column, part: str) -> Column:
-    """One int for each bin, null where the bin is empty."""
-    entries = F.map_from_entries(F.filter(F.transform(values, lambda x: F.struct(x["bin"], x[part])), lambda x: x[part].isNotNull()))
-    return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.try_element_at(entries, b))
+def _or_whole(entries: Column, octets: Column) -> Column:
+    """A text without anchors has its own hash for the only one."""
+    return F.when(F.size(entries) > 0, entries).otherwise(F.array(_entry(F.xxhash64(octets))))
 
 
-def _or_whole(bins: Column, text: Column) -> Column:
-    """A text without anchors has its own hash for the only one."""
-    whole = F.xxhash64(text)
-    return F.when(F.exists(bins, lambda x: x.isNotNull()), bins).otherwise(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.when(b == _bin(whole), _value(whole))))
+def joined(kept: Column, given: Column, seam: Column) -> Column:
+    """The entries of two parts put together; `seam` holds the bytes around the joint, less than a k-mer from either part."""
+    starts = F.when(F.octet_length(seam) >= K, F.sequence(F.lit(1), F.octet_length(seam) - (K - 1))).otherwise(F.array().cast("array<int>"))
+    across = F.transform(F.filter(starts, lambda i: is_anchor(seam, i)), lambda i: _entry(_hash(seam, i)))
+    # Sorted by bin, then value: the first entry of each bin is its least.
+    return _let(F.sort_array(F.concat(kept, given, across)), lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.try_element_at(all_, i), 32))))
 
 
-def _joined(kept: Column, given: Column, seam: Column) -> Column:
-    """The bins of two parts put together; `seam` is the text around the joint, less than a k-mer from either part."""
-    starts = F.when(F.char_length(seam) >= K, F.sequence(F.lit(1), F.char_length(seam) - (K - 1))).otherwise(F.array().cast("array<int>"))
-    across = F.transform(F.filter(starts, lambda i: is_anchor(seam, i)), lambda i: F.xxhash64(F.substring(seam, i, F.lit(K))))
-    both = F.zip_with(kept, given, lambda a, b: F.least(a, b))
-    bound = F.transform(F.array(F.struct(both.alias("both"), across.alias("across"))), lambda x: F.transform(x["both"], lambda a, b: F.least(a, F.array_min(F.transform(F.filter(x["across"], lambda h: _bin(h) == b), _value)))))
-    return bound[0]
+def _bins(entries: Column) -> Column:
+    """The bins that have an entry, as bits."""
+    return F.aggregate(entries, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 32).cast("int"))))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, a_bins: Column, b: Column, b_bins: Column) -> Column:
     """The share of bins that agree among those that either has."""
-    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
-    either = F.size(F.filter(F.zip_with(a, b, lambda x, y: x.isNotNull() | y.isNotNull()), lambda x: x))
-    return F.when(either > 0, same / either).otherwise(1.0).cast("double")
+    return (F.size(F.array_intersect(a, b)) / F.bit_count(a_bins.bitwiseOR(b_bins))).cast("double")
 
 
-def written(bins: Column) -> Column:
-    """64 times 8 hex digits, eight dashes for an empty bin."""
-    return F.lower(F.array_join(F.transform(bins, lambda x: F.coalesce(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"), F.lit("-" * 8))), ""))
+def written(entries: Column) -> Column:
+    """The entries by bin, each as two hex digits of bin and eight of value."""
+    return F.lower(F.array_join(F.transform(F.sort_array(entries), lambda x: F.lpad(F.hex(x), 10, "0")), ""))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,33 +130,35 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     keyed = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id_text"), "tag", "text")
     links = chain.select(F.coalesce(F.col("own_id").cast("string"), F.lit("null")).alias("id_text"), F.col("own_tag").alias("tag"), "n", "prior")
     texts = keyed.join(links.hint("merge"), ["id_text", "tag"])
-    kept = F.col("n") - F.floor(F.col("n") / 4).cast("int")
-    asked = F.floor(F.col("prior.n") / 4).cast("int")
+    start = F.left(F.col("text"), F.col("n") - F.floor(F.col("n") / 4).cast("int"))
+    head = F.left(F.col("text"), F.floor(F.col("prior.n") / 4).cast("int"))
     end = F.col("place") + K
-    found = anchors(texts.select("id_text", "tag", "text", kept.alias("kept"), asked.alias("asked")), ["id_text", "tag", "kept", "asked"])
-    value = _value(F.col("hash"))
+    found = anchors(texts.select("id_text", "tag", "text", F.octet_length(start).alias("kept"), F.octet_length(head).alias("asked")), ["id_text", "tag", "kept", "asked"])
+    entry = _entry(F.col("hash"))
     mins = found.groupBy("id_text", "tag", _bin(F.col("hash")).alias("bin")).agg(
-        F.min(value).alias("all"), F.min(F.when(end <= F.col("kept"), value)).alias("kept"), F.min(F.when(end <= F.col("asked"), value)).alias("head")
+        F.min(entry).alias("all"), F.min(F.when(end <= F.col("kept"), entry)).alias("kept"), F.min(F.when(end <= F.col("asked"), entry)).alias("head")
     )
     # One column, and an exchange that the planner may not leave out: both uses below then read the same, and the anchors are looked for once.
-    bins = mins.groupBy("id_text", "tag").agg(F.collect_list(F.struct("bin", "all", "kept", "head")).alias("bins"))
-    packed = bins.select("id_text", "tag", F.concat(_binned(F.col("bins"), "all"), _binned(F.col("bins"), "kept"), _binned(F.col("bins"), "head")).alias("packed")).hint("rebalance", F.col("id_text"), F.col("tag"))
-    none = F.array_repeat(F.lit(None).cast("int"), 3 * BINS)
-    every = texts.join(packed.hint("merge"), ["id_text", "tag"], "left").withColumn("packed", F.coalesce("packed", none))
-    whole, prefix, head = (F.slice("packed", 1 + i * BINS, BINS) for i in range(3))
-    own = every.select("id_text", "tag", "n", F.col("text"), kept.alias("kept"), _or_whole(whole, F.col("text")).alias("bins"), prefix.alias("prefix"))
+    packed = mins.groupBy("id_text", "tag").agg(F.array(F.collect_list("all"), F.collect_list("kept"), F.collect_list("head")).alias("packed")).hint("rebalance", F.col("id_text"), F.col("tag"))
+    nothing = F.array().cast("array<bigint>")
+    every = texts.join(packed.hint("merge"), ["id_text", "tag"], "left").withColumn("packed", F.coalesce("packed", F.array(nothing, nothing, nothing)))
+    whole = _or_whole(F.col("packed")[0], F.col("text").cast("binary"))
+    own = every.select("id_text", "tag", "n", "text", start.alias("start"), whole.alias("entries"), F.col("packed")[1].alias("kept"))
     given = every.select(
-        F.coalesce(F.col("prior.doc_id").cast("string"), F.lit("null")).alias("id_text"), F.col("prior.tag").alias("tag"), F.left(F.col("text"), asked).alias("head"), head.alias("head_bins"), _or_whole(whole, F.col("text")).alias("next_bins")
+        F.coalesce(F.col("prior.doc_id").cast("string"), F.lit("null")).alias("id_text"), F.col("prior.tag").alias("tag"), head.alias("head"), F.col("packed")[2].alias("given"), whole.alias("next_entries")
     ).dropDuplicates(["id_text", "tag"])
     both = own.join(given.hint("merge"), ["id_text", "tag"])
-    start = F.left(F.col("text"), F.col("kept"))
-    edited = F.concat(start, F.col("head"))
-    seam = F.concat(F.right(start, F.lit(K - 1)), F.left(F.col("head"), F.lit(K - 1)))
+    last = F.greatest(F.octet_length("start") - (K - 2), F.lit(1))
+    seam = F.concat(F.substring(F.col("start").cast("binary"), last, F.lit(K - 1)), F.substring(F.col("head").cast("binary"), F.lit(1), F.lit(K - 1)))
+    edited = F.concat("start", "head").cast("binary")
     doc_id = F.when(F.col("id_text") != "null", F.col("id_text")).cast(df.schema[key].dataType).alias("doc_id")
-    done = both.select(doc_id, F.col("n").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), "bins", "next_bins", _or_whole(_joined(F.col("prefix"), F.col("head_bins"), seam), edited).alias("edited_bins"))
+    done = both.select(doc_id, F.col("n").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "entries", "next_entries", _or_whole(joined(F.col("kept"), F.col("given"), seam), edited).alias("edited_entries"))
+    done = done.select("*", *[_bins(F.col(c)).alias(c.replace("entries", "bins")) for c in ("entries", "next_entries", "edited_entries")])
     return done.select(
-        "doc_id", "n_chars", "edited_sha256", written(F.col("bins")).alias("fingerprint"), written(F.col("edited_bins")).alias("edited_fingerprint"), likeness(F.col("bins"), F.col("edited_bins")).alias("near_edited"), likeness(F.col("bins"), F.col("next_bins")).alias("near_next")
-    )
+        "doc_id", "n_chars", "edited_sha256", written(F.col("entries")).alias("fingerprint"), written(F.col("edited_entries")).alias("edited_fingerprint"),
+        likeness(F.col("entries"), F.col("bins"), F.col("edited_entries"), F.col("edited_bins")).alias("near_edited"),
+        likeness(F.col("entries"), F.col("bins"), F.col("next_entries"), F.col("next_bins")).alias("near_next"),
+    )
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
