@@ -5,16 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..database import Database
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def database(spark: SparkSession, folder: str) -> Database:
+    return Database(spark, {t: f"{folder}/{t}.parquet" for t in TABLES})
+
+
+def register(name: str, sql: str | None = None) -> Callable:
+    """Of a function from Database to DataFrame or fluent query."""
 
-def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(function: Query) -> Query:
-        _QUERIES[name] = function
+    def keep(function: Callable) -> Callable:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            found = function(database(spark, folder))
+            return found if isinstance(found, DataFrame) else found.get()
+
+        _QUERIES[name] = run
         if sql:
             _SQL[name] = sql
         return function
@@ -22,17 +35,12 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-@register("agg_filter", """
-SELECT l_returnflag, l_linestatus, CAST(sum(l_quantity) AS DOUBLE) AS sum_qty, count(*) FILTER (WHERE l_discount > 0.05) AS n_discounted
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""")
-def agg_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_shipdate <= timestamp_ntz'1998-09-02'")
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.when(F.col("l_discount") > 0.05, 1)).alias("n_discounted"))
-
-
 def queries() -> dict[str, Query]:
+    from . import changes, relational, scalars  # noqa: F401  registers
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
