@@ -25,7 +25,7 @@ def _not_all_empty(df: DataFrame) -> DataFrame:
 
 
 def load_csv(spark: SparkSession, path: str, fields: Sequence[str] | None = None, separator: str = ",", quote: str = '"', skip: int = 0, prefix: str | None = None) -> DataFrame:
-    """All columns as text, trimmed. Without `fields` the first row that isn't blank names the columns. Short rows are filled with nulls, long ones cut, blank and all-empty ones dropped; `skip` rows and lines without `prefix` are passed over."""
+    """All columns as text, trimmed. Without `fields` the first row that isn't blank names the columns. Short rows are filled with nulls, long ones cut, blank and all-empty ones dropped; the first `skip` rows and lines without `prefix` are passed over, and so are all lines equal to the header."""
     lines = spark.read.text(path, wholetext=False).withColumnRenamed("value", "line")
     if prefix:
         lines = lines.filter(F.col("line").startswith(prefix)).select(F.substr("line", F.lit(len(prefix) + 1)).alias("line"))
@@ -36,13 +36,12 @@ def load_csv(spark: SparkSession, path: str, fields: Sequence[str] | None = None
         if len(heads) <= skip:
             return spark.createDataFrame([], _texts([]))
         names, drop_header = [c.strip() for c in next(csv.reader([heads[skip]], delimiter=separator, quotechar=quote))], True
-    unwanted = set(heads[:skip] if not drop_header else heads)
-    # Only the file's first lines are passed over: equal lines further down stay.
-    numbered = lines.withColumn("n", F.monotonically_increasing_id()) if unwanted else lines
-    if unwanted:
-        numbered = numbered.filter(F.col("n") >= len(heads[: skip + drop_header]))
+    if drop_header:
+        lines = lines.filter(F.col("line") != heads[skip])  # in a folder every file has it
+    if skip:
+        lines = lines.withColumn("n", F.monotonically_increasing_id()).filter(F.col("n") >= skip)
     options = {"sep": separator, "quote": quote, "mode": "PERMISSIVE", "escape": quote}
-    parsed = numbered.select(F.from_csv("line", ", ".join(f"`{n}` string" for n in names), options).alias("r")).select("r.*")
+    parsed = lines.select(F.from_csv("line", ", ".join(f"`{n}` string" for n in names), options).alias("r")).select("r.*")
     return _not_all_empty(parsed.select(*[F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names]))
 
 
