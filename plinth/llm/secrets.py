@@ -28,10 +28,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
 # What is random or badly packed and yet no secret: digests of the usual lengths, UUIDs, numbers, and names made of words.
+# (Possessive quantifiers: a run has one way to be cut into words, so a long one can't be tried in many.)
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"
-    r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9TZ+/_=-]+"
-    r"|[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}(?:[+/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)[0-9]{0,4})*[+/_=-]*|(?:[A-Z]?[a-z]{3,}|[A-Z]{2,4}(?![a-z]))+[0-9]{0,4})"
+    r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9TZ+/_=-]++"
+    r"|[+/_=-]*+(?:[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,4}+(?:[+/_=-]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++)[0-9]{0,4}+)*+[+/_=-]*+|(?:[A-Z]?[a-z]{3,}+|[A-Z]{2,4}+(?![a-z]))++[0-9]{0,4}+)"
 )
 
 

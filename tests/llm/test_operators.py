@@ -181,6 +181,16 @@ def test_random_runs(run, bad):
     assert secrets.is_random(run, secrets.vocabulary(secrets._file(None))) == bad
 
 
+def test_long_runs_take_time_in_proportion():
+    import time
+
+    encoding = secrets.vocabulary(secrets._file(None))
+    start = time.process_time()
+    for run in ("abcdef" * 20_000 + "123456", "Abc" * 20_000 + "_", "a_" * 30_000 + "!x", "A" * 60_000 + "a", "a1-" * 20_000 + "=A1b2"):
+        secrets.is_random(run, encoding)
+    assert time.process_time() - start < 5
+
+
 # ---- 4
 
 
