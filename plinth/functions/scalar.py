@@ -353,7 +353,11 @@ def match(columns: Any, terms: str, mode: str | None = None) -> Column:
     """Full-text search over the words of one or more columns: `&` and blanks mean all, `|` means any, `!` without."""
     names = [columns] if isinstance(columns, (str, Column)) else list(columns)
     words = F.split(F.lower(F.concat_ws(" ", *map(col, names))), r"[^\p{L}\p{N}]+")
+    # The text is cut into words once: the one-element array binds them.
+    return F.exists(F.array(words), lambda found: _matches(found, terms))
 
+
+def _matches(words: Column, terms: str) -> Column:
     def has(term: str) -> Column:
         if term.startswith("!"):
             return ~has(term[1:])
