@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
+from .operators import ddl
 from .operators.query import Query
 from .operators.services import Advice, Cache, Profiler
 
@@ -21,6 +22,7 @@ class Database:
         self.named_scopes: dict[str, Callable[..., Query]] = {}
         self.plugins: dict[str, Any] = {}
         self.cache, self.profiler, self.advice = Cache(), Profiler(), Advice()
+        self.constraints = ddl.Constraints()
 
     def frame(self, name: str) -> DataFrame:
         found = self.tables.get(name)
@@ -50,6 +52,45 @@ class Database:
     def table_exists(self, name: str) -> bool:
         return name in self.tables or self.spark.catalog.tableExists(name)
 
+    # ---- schemas of tables that are held by name
+
+    def create_table(self, name: str, columns: dict[str, Any], if_not_exists: bool = False) -> DataFrame:
+        if self.table_exists(name):
+            if if_not_exists:
+                return self.frame(name)
+            raise ValueError(f"table {name} exists")
+        self.put(name, ddl.create_table(self.spark, columns))
+        return self.tables[name]
+
+    def drop_table(self, name: str, if_exists: bool = False) -> None:
+        """Takes the table out of the catalog; its files stay."""
+        if name not in self.tables and not if_exists:
+            raise ValueError(f"no table {name}")
+        self.tables.pop(name, None)
+
+    def rename_table(self, name: str, new: str) -> None:
+        self.tables[new] = self.tables.pop(name)
+
+    def truncate_table(self, name: str) -> None:
+        self.put(name, self.frame(name).limit(0))
+
+    def add_column(self, table: str, name: str, kind: Any) -> None:
+        self.put(table, ddl.add_column(self.frame(table), name, kind))
+
+    def drop_column(self, table: str, name: str) -> None:
+        self.put(table, ddl.drop_column(self.frame(table), name))
+
+    def alter_column(self, table: str, name: str, kind: Any) -> None:
+        self.put(table, ddl.alter_column(self.frame(table), name, kind))
+
+    def rename_column(self, table: str, old: str, new: str) -> None:
+        self.put(table, ddl.rename_column(self.frame(table), old, new))
+
+    def violations(self, table: str) -> dict[str, DataFrame]:
+        """For each constraint of the table, the rows or keys that break it."""
+        others = {c.ref_table for c in self.constraints.listed(table, "foreign")}
+        return self.constraints.violations(table, {name: self.frame(name) for name in {table, *others}})
+
     # ---- SQL text
 
     def raw_query(self, sql: str, params: dict | list | None = None) -> DataFrame:

@@ -134,7 +134,7 @@ class Constraints:
 
 
 def write_laid_out(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
-    """Write so that filters prune: a folder for each partition value, rows in order within files. Partitions are dealt out by hash and a draw, so that a large one isn't one task's."""
+    """Write so that filters prune: a folder for each partition value, rows in order within each file. Rows aren't moved first, so a large partition is written by all tasks that hold rows of it."""
     if sort_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     df.write.partitionBy(*partition_by).parquet(path)

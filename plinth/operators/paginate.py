@@ -9,6 +9,7 @@ from datetime import date, datetime
 from decimal import Decimal
 from functools import reduce
 from typing import Any
+from urllib.parse import urlencode
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -42,6 +43,22 @@ class Page:
         return self.current_page == 1
 
 
+    def url(self, page: int, path: str = "", **query: Any) -> str:
+        return f"{path}?{urlencode(query | {'page': page})}"
+
+    def links(self, path: str = "", **query: Any) -> dict[str, str | None]:
+        return {
+            "first": self.url(1, path, **query),
+            "last": self.url(self.last_page, path, **query),
+            "prev": None if self.on_first_page else self.url(self.current_page - 1, path, **query),
+            "next": self.url(self.current_page + 1, path, **query) if self.has_more else None,
+        }
+
+    def to_dict(self, path: str = "", **query: Any) -> dict[str, Any]:
+        meta = {"total": self.total, "per_page": self.per_page, "current_page": self.current_page, "last_page": self.last_page, "from": self.first_item, "to": self.last_item}
+        return {"data": [r.asDict(True) for r in self.items], "meta": meta, "links": self.links(path, **query)}
+
+
 @dataclass(frozen=True)
 class SimplePage:
     items: list[Row]
@@ -122,7 +139,7 @@ def keyset(df: DataFrame, order: list[tuple[str, str]], after: dict[str, Any] |
 def cursor_paginate(query: Any, per_page: int, cursor: str | None) -> CursorPage:
     """The query's order must be over columns that it selects and that tell all rows apart."""
     _check(per_page)
-    order = [_parsed(o) for o in query.state.order]
+    order = [parsed_order(o) for o in query.state.order]
     if not order:
         raise ValueError("a keyset needs an order")
     key, back = decode(cursor) if cursor else (None, False)
@@ -133,7 +150,7 @@ def cursor_paginate(query: Any, per_page: int, cursor: str | None) -> CursorPage
     return CursorPage(found, per_page, mark(found[-1], False) if found and (more or back) else None, mark(found[0], True) if found and (more if back else cursor is not None) else None)
 
 
-def _parsed(order: Column) -> tuple[str, str]:
+def parsed_order(order: Column) -> tuple[str, str]:
     text = order._jc.toString()
     name, _, rest = text.partition(" ")
     return name.rpartition(".")[2].strip("`"), "DESC" if rest.upper().startswith("DESC") else "ASC"

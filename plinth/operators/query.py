@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import json as js
 from ..functions.aggregate import Aggregate, Windowed, ordering
 from ..functions.core import _bound, col
-from . import paginate
+from . import dml, paginate
 from .predicates import Conditions, Grammar, condition, frame_of, is_query
 
 if TYPE_CHECKING:
@@ -43,6 +43,7 @@ class State:
     hints: tuple = ()
     index: str | None = None
     cached: str | None = None
+    duplicates: tuple | None = None
     scopes_off: Any = ()
 
 
@@ -275,9 +276,7 @@ class Query(Grammar):
         if s.distinct:
             df = df.distinct()
         df = _combined(df, [(op, q) for op, q in s.sets])
-        if s.order and not s.distinct_on:
-            df = df.orderBy(*s.order)
-        elif s.order:
+        if s.order:
             df = df.orderBy(*s.order)
         if s.offset:
             df = df.offset(s.offset)
@@ -382,6 +381,52 @@ class Query(Grammar):
     def cursor_paginate(self, per_page: int = 15, cursor: Any = None) -> paginate.CursorPage:
         return paginate.cursor_paginate(self, per_page, cursor)
 
+    # ---- changes: each puts a new version of the table into the catalog and gives it
+
+    def _changed(self, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        if not isinstance(self.state.source, str) or self.state.joins:
+            raise ValueError("changes are of one named table; dml.update_join and dml.delete_join take another")
+        name = self.state.prefix + self.state.source.split()[0]
+        new = change(self.db.frame(name))
+        self.db.put(name, new)
+        return new
+
+    def on_duplicate(self, sets: dict[str, Any] | Iterable[str], keys: Any = "id") -> Query:
+        """What a following insert does with rows whose key is there."""
+        return self._with(duplicates=(sets, keys))
+
+    def insert(self, rows: Any) -> DataFrame:
+        if self.state.duplicates:
+            return self._changed(lambda t: dml.upsert(t, rows, *self.state.duplicates))
+        return self._changed(lambda t: dml.insert(t, rows))
+
+    insert_multi = insert
+
+    def insert_from(self, source: Any, columns: list[str] | None = None) -> DataFrame:
+        found = self.db.frame(source) if isinstance(source, str) else frame_of(source)
+        return self._changed(lambda t: dml.insert_from(t, found, columns))
+
+    def replace(self, rows: Any, keys: Any = "id") -> DataFrame:
+        return self._changed(lambda t: dml.replace(t, rows, keys))
+
+    replace_multi = replace
+
+    def update(self, sets: dict[str, Any]) -> DataFrame:
+        """Rows under the conditions; with limit(), the first in the query's order, which must be over columns that tell rows apart."""
+        names = [paginate.parsed_order(o)[0] for o in self.state.order]
+        return self._changed(lambda t: dml.update(t, sets, self.state.where.column(), self.state.limit, names))
+
+    def delete(self) -> DataFrame:
+        kept = self.state.where.column()
+        return self._changed(lambda t: dml.truncate(t) if kept is None else dml.delete(t, kept))
+
+    def truncate(self) -> DataFrame:
+        return self._changed(dml.truncate)
+
+    def merge(self, source: Any, keys: Any, when_matched: Any = None, when_not_matched: Any = (), delete_not_matched_by_source: bool = False, matched_if: Any = None) -> DataFrame:
+        found = self.db.frame(source) if isinstance(source, str) else frame_of(source)
+        return self._changed(lambda t: dml.merge(t, found, keys, when_matched, when_not_matched, delete_not_matched_by_source, matched_if))
+
     def describe(self) -> list[tuple[str, str, bool]]:
         return [(f.name, f.dataType.simpleString(), f.nullable) for f in self.get().schema]
 

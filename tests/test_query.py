@@ -176,3 +176,68 @@ def test_cache_profiler_advice(db):
     cross = db.find("t a").join("t b", "a.id < b.id")
     assert any(isinstance(f, Finding) and "join" in f.kind or f.kind == "cartesian_product" for f in cross.explain_advice())
     assert "Physical Plan" in q.explain() and "Analyzed" in q.to_sql()
+
+
+def test_changes_through_the_query(db):
+    t = db.find("t")
+    t.where("v", 30).update({"k": "thirty"})
+    assert {r["id"] for r in db.find("t").where("k", "thirty").get().collect()} == {3, 4}
+    t.where("v", 10).delete()
+    assert ids(db.find("t")) == [2, 3, 4]  # the row with a null stays
+    t.insert({"id": 9, "v": 1})
+    t.on_duplicate({"v": fn.inc(5)}).insert([{"id": 9, "v": 0}, {"id": 10, "v": 0}])
+    assert {(r["id"], r["v"]) for r in db.find("t").where("id", 4, ">").get().collect()} == {(9, 6), (10, 0)}
+    t.replace({"id": 10, "k": "new"})
+    t.insert_from(db.find("u").select("v + 100", "v", "name").where_not_null("v"))
+    t.order_by("id").limit(1).where("id", 100, ">").update({"k": "first"})
+    assert {(r["id"], r["k"]) for r in db.find("t").where("id", 9, ">").get().collect()} == {(10, "new"), (110, "first"), (130, "y")}
+    t.merge(db.spark.createDataFrame([(2, 7)], "id int, v int"), "id", ["v"], (), True)
+    assert [tuple(r) for r in db.find("t").get().collect()] == [(2, 7, "b")]
+    t.truncate()
+    assert db.find("t").count() == 0
+    with pytest.raises(ValueError):
+        db.find("t").join("u", "t.v = u.v").delete()
+
+
+def test_tables_by_name(db):
+    db.create_table("made", {"id": "primary_key", "v": "integer"})
+    db.create_table("made", {"id": "primary_key"}, if_not_exists=True)
+    with pytest.raises(ValueError):
+        db.create_table("made", {})
+    db.add_column("made", "w", "string")
+    db.rename_column("made", "v", "x")
+    db.alter_column("made", "x", "big_integer")
+    db.rename_table("made", "kept")
+    assert db.find("kept").describe() == [("id", "int", False), ("x", "bigint", True), ("w", "string", True)]
+    db.drop_column("kept", "w")
+    db.truncate_table("kept")
+    db.drop_table("kept")
+    db.drop_table("kept", if_exists=True)
+    with pytest.raises(ValueError):
+        db.drop_table("kept")
+    db.constraints.add_foreign_key("fk", "t", ["v"], "u", ["v"])
+    db.constraints.add_check("ck", "t", "id < 4")
+    assert {k: v.count() for k, v in db.violations("t").items()} == {"fk": 0, "ck": 1}
+
+
+def test_page_links(db):
+    page = db.find("t").order_by("id").paginate(3, 2)
+    assert page.links("/t", q="x")["prev"] == "/t?q=x&page=1" and page.links()["next"] is None
+    assert page.to_dict()["meta"]["from"] == 4 and page.to_dict()["data"] == [{"id": 4, "v": 30, "k": None}]
+
+
+def test_sql_layout():
+    from plinth.functions.sqltext import format_sql
+
+    text = "select a, count(*) from t left join u on t.x = u.x where a in (select b from c where d = 'x AND  y') and e = 1 group by a"
+    expected = """SELECT a, count(*)
+FROM t
+LEFT JOIN u on t.x = u.x
+WHERE a in (
+  SELECT b
+  FROM c
+  WHERE d = 'x AND  y'
+)
+  AND e = 1
+GROUP BY a"""
+    assert format_sql(text) == expected
