@@ -14,11 +14,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns, table
+from .common import Kept, map_columns, table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Encoded words kept by a worker; beyond it the store is emptied and fills anew, so memory stays bounded.
-KEPT_WORDS = 400_000
+#: Encoded words, and as many pieces, in each of two generations that a worker keeps.
+KEPT_WORDS = 120_000
 #: Children of a tree node. Wide nodes keep the tree of a usual word one level high; an update still costs a logarithm of the length.
 FANOUT = 16
 #: The rank of a pair that can't be merged.
@@ -53,22 +53,6 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-class Kept(dict):
-    """What `make` gives for a text, kept while there is room; long texts aren't kept."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, text: str):
-        found = self.make(text)
-        if len(text) <= 64:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[text] = found
-        return found
-
-
 class PairTree:
     """A segment tree of wide nodes over the ranks of adjacent pairs: the root is the least of (rank, place), and setting a place renews one node a level."""
 
@@ -114,8 +98,8 @@ class Tokenizer:
         self.inner = [vocabulary[c] for c in characters]
         self.last = [vocabulary[c + self.suffix] for c in characters]
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")")
-        self.pieces = Kept(self.piece)  # the same piece comes in many words, capital or with other marks around it
-        self.words = Kept(self.word)
+        self.pieces = Kept(self.piece, KEPT_WORDS)  # the same piece comes in many words, capital or with other marks around it
+        self.words = Kept(self.word, KEPT_WORDS)
 
     def merge(self, octets: bytes) -> list[int]:
         """The ids of one piece: while any pair can be merged, merge the leftmost of the lowest rank."""
@@ -148,15 +132,12 @@ class Tokenizer:
                 put(h, rank_of(ids[h] << 20 | a, NEVER) * n + h)
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> list[int]:
-        return self.merge(piece.encode("utf-8"))
+    def piece(self, piece: str) -> bytes:
+        return little(self.merge(piece.encode("utf-8")))
 
     def word(self, word: str) -> bytes:
         """The ids of a run without white space, as little-endian 32-bit numbers."""
-        ids: list[int] = []
-        for piece in PIECES.findall(word.lower()) if word.isascii() else _pieces(word):
-            ids += self.pieces[piece]
-        return little(ids)
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower()) if word.isascii() else _pieces(word)))
 
     def encode_bytes(self, text: str) -> bytes:
         out = []

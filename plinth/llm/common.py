@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -18,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
 #: With it on, a query's shuffle files go when it ends.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch between the JVM and Python, and the setting that limits them with Spark's default.
+BATCH_BYTES = 4 << 20
+BATCH_LIMIT, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Rows turned into Python objects at a time, so that memory follows a few texts and not a whole Arrow batch.
 SLICE = 256
 
@@ -80,6 +84,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers are used again, for other operators too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow in small batches, so that neither the JVM nor Python holds tens of megabytes of text at once. The session's own limit stands where it has been changed from Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_LIMIT, None) == DEFAULT_BATCH:
+        conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def map_columns(df: DataFrame, function: Callable[[dict], dict], schema: str, rows: int = SLICE) -> DataFrame:
     """Run `function` over small slices of each partition. It gets and returns a dict of Python lists (or arrays) by column name."""
     target = schema_of(df.sparkSession, schema)
@@ -89,7 +114,7 @@ def map_columns(df: DataFrame, function: Callable[[dict], dict], schema: str, ro
             out = function(part.to_pydict())
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]], rows: int = SLICE) -> DataFrame:
@@ -99,7 +124,7 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]],
         for part in slices(batches, rows):
             yield part.filter(pa.array(keep(part.column(column).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return in_arrow(df, run, df.schema)
 
 
 def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
@@ -109,6 +134,26 @@ def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+class Kept(dict):
+    """What `make` gives for a text, kept in two generations of `room` texts: when the young one is full it becomes the old one, and what is asked for again is young again. Texts over 64 characters aren't kept."""
+
+    def __init__(self, make: Callable, room: int):
+        super().__init__()
+        self.make, self.room, self.old = make, room, {}
+
+    def __missing__(self, text):
+        found = self.old.get(text)
+        if found is None:
+            found = self.make(text)
+            if len(text) > 64:
+                return found
+        if len(self) >= self.room:
+            self.old = dict(self)
+            self.clear()
+        self[text] = found
+        return found
+
+
 def unit_draw(text: Column) -> Column:
     """A number in (0, 1), the same on every run: the first 52 bits of the MD5 of `text`."""
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, map_columns, schema_of, table
+from .common import durable, in_arrow, map_columns, schema_of, table
 from .components import components
 
 SEED = 42
@@ -221,15 +221,15 @@ def links(prints: DataFrame) -> DataFrame:
             key, own = keys(np.asarray(batch.column(0)).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key), _signed(own)], schema=key_schema)
 
-    met = prints.mapInArrow(make, "key long, print long").repartition("key").sortWithinPartitions("key")
-    found = durable(met.mapInArrow(_linker(link_schema, True), _LINKS))
+    met = in_arrow(prints, make, "key long, print long").repartition("key").sortWithinPartitions("key")
+    found = durable(in_arrow(met, _linker(link_schema, True), _LINKS))
     again = found.filter(F.col("part").isNotNull())
     part = None
     for k, (at, n) in enumerate(PARTS):
         bits = F.shiftrightunsigned("a", at).bitwiseAND(F.lit((1 << n) - 1))
         part = F.when(F.col("part") == k, bits) if part is None else part.when(F.col("part") == k, bits)
     dealt = again.select(F.xxhash64("b", "part", part).alias("key"), F.col("a").alias("print")).repartition("key").sortWithinPartitions("key")
-    more = dealt.mapInArrow(_linker(link_schema, False), _LINKS)
+    more = in_arrow(dealt, _linker(link_schema, False), _LINKS)
     return found.filter(F.col("part").isNull()).unionByName(more).select("a", "b")
 
 

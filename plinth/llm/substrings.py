@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, map_columns, schema_of, slices, stored, table
+from .common import Kept, forget, in_arrow, map_columns, schema_of, slices, stored, table
 
 WINDOW = 13
 GRAM = 5
@@ -41,21 +41,14 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Hashes(dict):
-    """XXH64 of words, kept while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _hash(word: bytes) -> int:
+    import xxhash
 
-        found = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= 500_000:
-                self.clear()
-            self[word] = found
-        return found
+    return xxhash.xxh64_intdigest(word)
 
 
-_HASHES = Hashes()
+#: XXH64 of words.
+_HASHES = Kept(_hash, 250_000)
 
 
 def least_grams(words: list[bytes]) -> np.ndarray:
@@ -156,7 +149,7 @@ def merged_sketch(texts: DataFrame, cells: int) -> np.ndarray:
         return pa.table([part["chunk"][:1], pa.array([b""]), pa.array([more.tobytes()])], schema=arrow)
 
     # As many sketches as cores, however many partitions the texts have.
-    parts = texts.coalesce(spark.sparkContext.defaultParallelism).mapInArrow(build, schema)
+    parts = in_arrow(texts.coalesce(spark.sparkContext.defaultParallelism), build, schema)
     rows = parts.groupBy("chunk").applyInArrow(merge, schema).select("chunk", "twice").collect()
     whole = np.zeros(DEPTH * cells // 8, np.uint8)
     for row in rows:
@@ -186,7 +179,7 @@ def candidates(texts: DataFrame, sent, cells: int) -> DataFrame:
             pairs = np.frombuffer(found, "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), part.column("doc_id").take(pa.array(owner)), pa.array(np.asarray(part.column("tag")).astype(np.int64)[owner] << 32 | place)], schema=arrow)
 
-    return texts.mapInArrow(run, schema)
+    return in_arrow(texts, run, schema)
 
 
 def _without(texts: DataFrame, copies: DataFrame, n: int) -> DataFrame:

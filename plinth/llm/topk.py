@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import schema_of, table
+from .common import in_arrow, schema_of, table
 
 #: Bytes of one broadcast block of query vectors. More queries than fit in it are searched block by block.
 BLOCK_BYTES = 32 << 20
@@ -102,7 +102,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vect
     for block in range(blocks):
         own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
         sent = spark.sparkContext.broadcast([(ids, quantized(m, scale)) for part in own.to_batches() for ids, m in _matrices(part.column(0), part.column(1))])
-        part = shards.mapInArrow(_search(sent, k, scale, schema_of(spark, _LISTS)), _LISTS)
+        part = in_arrow(shards, _search(sent, k, scale, schema_of(spark, _LISTS)), _LISTS)
         lists = part if lists is None else lists.unionAll(part)
     return merged(lists, k, cores * SHARDS_A_CORE)
 
