@@ -14,14 +14,17 @@ stop at 2, which is all that is asked of them, and are kept as two bits in two b
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, forget, in_arrow, map_columns, schema_of, slices, stored, table
+from .common import forget, in_arrow, map_columns, schema_of, slices, stored, table
 
 WINDOW = 13
 GRAM = 5
@@ -41,21 +44,47 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _hash(word: bytes) -> int:
-    import xxhash
+#: Bytes whose running sums are held at once.
+SPAN = 1 << 20
+_BASE = 0x100000001B3  # odd, so that it has an inverse
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(SPAN, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-    return xxhash.xxh64_intdigest(word)
 
+@lru_cache(maxsize=1)
+def _scales() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse, modulo 2^64."""
+    return _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
-#: XXH64 of words.
-_HASHES = Kept(_hash, 250_000)
 
+def word_hashes(line: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each word, from differences of running sums. Different words may share one: that only lets more windows through."""
+    up, down = _scales()
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = int(np.searchsorted(ends, starts[i] + SPAN - 1))
+        if j == i:  # one word longer than the span
+            out[i] = zlib.crc32(line[starts[i] : ends[i]])
+            i += 1
+            continue
+        at = starts[i]
+        sums = np.zeros(int(ends[j - 1] - at) + 1, np.uint64)
+        np.cumsum((line[at : ends[j - 1]].astype(np.uint64) + np.uint64(1)) * up[: len(sums) - 1], dtype=np.uint64, out=sums[1:])
+        a, b = starts[i:j] - at, ends[i:j] - at
+        out[i:j] = (sums[b] - sums[a]) * down[a]
+        i = j
+    return out ^ (out >> np.uint64(31))
 
-def least_grams(words: list[bytes]) -> np.ndarray:
-    """The least hash among the grams of the window that starts at each word."""
-    if len(words) < WINDOW:
+
+def least_grams(a: np.ndarray) -> np.ndarray:
+    """From the hashes of words, the least hash among the grams of the window that starts at each word."""
+    if len(a) < WINDOW:
         return np.empty(0, np.uint64)
-    a = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     pairs = _mix(a[:-1], a[1:])
     grams = _mix(_mix(pairs[:-3], pairs[2:-1]), a[4:])
     two = np.minimum(grams[:-1], grams[1:])
@@ -63,17 +92,32 @@ def least_grams(words: list[bytes]) -> np.ndarray:
     return np.minimum(np.minimum(four[:-5], four[4:-1]), grams[8:])
 
 
-def laid_out(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """The words of several texts one after another; for each window inside a text: its first word among these, its text, and its first word in the text."""
-    words: list[bytes] = []
-    ends = []
-    for text in texts:
-        words += split(text)
-        ends.append(len(words))
-    sizes = np.maximum(np.diff([0, *ends]) - WINDOW + 1, 0)
+@dataclass
+class Layout:
+    """The words of several texts in one line, a space after each."""
+
+    line: np.ndarray
+    starts: np.ndarray  # of words in the line
+    ends: np.ndarray
+    first: np.ndarray  # for each window inside a text: its first word
+    owner: np.ndarray  # its text
+    place: np.ndarray  # its first word, counted in the text
+
+
+def laid_out(texts: list[str | None]) -> Layout:
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b"".join(x for p in parts for x in (p, b"\n")), np.uint8)
+    white = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    after_white = np.concatenate([[True], white[:-1]]) if len(raw) else white
+    starts, ends = np.flatnonzero(~white & after_white), np.flatnonzero(white & ~after_white)
+    words = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in parts)])))
+    line = np.where(white, np.uint8(32), raw)[~(white & after_white)]
+    lengths = ends - starts
+    ends = np.cumsum(lengths + 1) - 1
+    sizes = np.maximum(words - WINDOW + 1, 0)
     owner = np.repeat(np.arange(len(texts)), sizes)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return words, place + np.array([0, *ends[:-1]], np.int64)[owner], owner, place
+    return Layout(line, ends - lengths, ends, place + (np.cumsum(words) - words)[owner], owner, place)
 
 
 def cells_of(grams: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -122,10 +166,10 @@ def merged_sketch(texts: DataFrame, cells: int) -> np.ndarray:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, waiting, n = Sketch(cells), [], 0
         for part in slices(batches):
-            words, first, owner, _ = laid_out(part.column(0).to_pylist())
-            if not len(first):
+            own = laid_out(part.column(0).to_pylist())
+            if not len(own.first):
                 continue
-            grams = least_grams(words)[first]
+            grams, owner = least_grams(word_hashes(own.line, own.starts, own.ends))[own.first], own.owner
             changes = np.flatnonzero(np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])]))
             grams, owner = grams[changes], owner[changes]
             order = np.lexsort((grams, owner))  # once a document
@@ -167,15 +211,15 @@ def candidates(texts: DataFrame, sent, cells: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for part in slices(batches):
-            words, first, owner, place = laid_out(part.column("text").to_pylist())
-            may = twice(sent.value, least_grams(words)[first], cells) if len(first) else np.empty(0, bool)
-            if not may.any():
+            own = laid_out(part.column("text").to_pylist())
+            if not len(own.first):
+                continue
+            may = np.flatnonzero(twice(sent.value, least_grams(word_hashes(own.line, own.starts, own.ends))[own.first], cells))
+            if not len(may):
                 continue
-            first, owner, place = first[may], owner[may], place[may]
-            line = b" ".join(words)
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            found = b"".join([digest(line[a:b]) for a, b in zip(starts[first].tolist(), ends[first + WINDOW - 1].tolist(), strict=True)])
+            first, owner, place = own.first[may], own.owner[may], own.place[may]
+            line = own.line.tobytes()
+            found = b"".join([digest(line[a:b]) for a, b in zip(own.starts[first].tolist(), own.ends[first + WINDOW - 1].tolist(), strict=True)])
             pairs = np.frombuffer(found, "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), part.column("doc_id").take(pa.array(owner)), pa.array(np.asarray(part.column("tag")).astype(np.int64)[owner] << 32 | place)], schema=arrow)
 

@@ -371,6 +371,22 @@ def test_substrings(docs, none, spark, sf, monkeypatch):
     assert substrings.strip(none).count() == 0
 
 
+def test_words_are_laid_out_as_they_are_split(monkeypatch):
+    texts = [t for _, t, _, _ in texts_of()] + ["\x0b lead", "tail \x0c\r\n", "a\x85b c\xa0d \u2003 e", "x" * 500 + " y"]
+    own = substrings.laid_out(texts)
+    line = own.line.tobytes()
+    every = [w for t in texts for w in substrings.split(t)]
+    assert [line[a:b] for a, b in zip(own.starts, own.ends, strict=True)] == every
+    windows = [(i, k) for i, t in enumerate(texts) for k in range(len(substrings.split(t)) - 12)]
+    assert list(zip(own.owner.tolist(), own.place.tolist(), strict=True)) == windows
+    assert all(line[own.starts[f] : own.ends[f + 12]] == b" ".join(substrings.split(texts[i])[k : k + 13]) for f, i, k in zip(own.first, own.owner, own.place, strict=True))
+    whole = substrings.word_hashes(own.line, own.starts, own.ends)
+    assert len({*zip(every, whole.tolist(), strict=True)}) == len(set(every)) == len(set(whole.tolist()))
+    monkeypatch.setattr(substrings, "SPAN", 64)
+    short = substrings.word_hashes(own.line, own.starts, own.ends)
+    assert all(a == b for a, b, w in zip(whole, short, every, strict=True) if len(w) < 60) and len({*zip(every, short.tolist(), strict=True)}) == len(set(every))
+
+
 # ---- 9
 
 
