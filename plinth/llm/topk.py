@@ -49,11 +49,10 @@ class Best:
     def add(self, start: int, scores: np.ndarray, vec: np.ndarray) -> None:
         """scores: of the queries from `start` on, against the rows `vec`."""
         floor = self.floor[start : start + len(scores)]
+        other = self.ids[start : start + len(scores), None] != vec[None, :]  # rows with a query's own id are none of its candidates, however many there are
         if scores.shape[1] > 4 * self.k:
-            floor = np.maximum(floor, np.partition(scores, -self.k - 1, axis=1)[:, -self.k - 1])  # one more than k: the query's own row may be among them
-        at, row = np.nonzero(scores >= floor[:, None])
-        other = self.ids[start + at] != vec[row]
-        at, row = at[other], row[other]
+            floor = np.maximum(floor, np.partition(np.where(other, scores, _LEAST), -self.k, axis=1)[:, -self.k])
+        at, row = np.nonzero((scores >= floor[:, None]) & other)
         held = (self.query >= start) & (self.query < start + len(scores))
         query = np.concatenate([self.query[held], start + at])
         score = np.concatenate([self.score[held], scores[at, row]])

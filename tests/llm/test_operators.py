@@ -337,6 +337,18 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_passes_over_all_rows_of_a_querys_own_id(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-8, 9, 4) / 8) for i in range(1, 200)] + [(200, rng.integers(4, 9, 4) / 8) for _ in range(100)] + [(300, np.ones(4)), (300, np.ones(4))]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>").coalesce(1)
+    expected = []
+    for q in (100, 200, 300):
+        asked = min(list(v) for i, v in rows if i == q)
+        scored = sorted((-int(sum(1024 * x * 1024 * y for x, y in zip(asked, v, strict=True))), i) for i, v in rows if i != q)
+        expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])]
+    assert bag(topk.top_k(df, F.col("vec_id") % 100 == 0).collect()) == bag(expected)
+
+
 # ---- 8
 
 
