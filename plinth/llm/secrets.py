@@ -27,13 +27,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Matches of [0-9a-f]+ are whole runs, so those of 24 and more can be asked for at once.
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 RUN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
-# What is random or badly packed and yet no secret: digests of the usual lengths, UUIDs, numbers, and names made of words.
-# (Possessive quantifiers: a run has one way to be cut into words, so a long one can't be tried in many.)
+# What is random or badly packed and yet no secret: digests of the usual lengths, UUIDs and numbers.
 KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"
-    r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9TZ+/_=-]++"
-    r"|[+/_=-]*+(?:[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,4}+(?:[+/_=-]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++)[0-9]{0,4}+)*+[+/_=-]*+|(?:[A-Z]?[a-z]{3,}+|[A-Z]{2,4}+(?![a-z]))++[0-9]{0,4}+)"
+    r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9TZ+/_=-]++)"
 )
+# The shape of names: pieces of letters of one case, joined. The signs that join short words cost tokens, so a run of this shape is a name if its pieces are words by themselves.
+# (Possessive quantifiers: a run has one way to be cut into pieces, so a long one can't be tried in many.)
+NAME = re.compile(r"[+/_=-]*+(?:[A-Z]?[a-z]++|[A-Z]++)[0-9]{0,4}+(?:[+/_=-]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++)[0-9]{0,4}+)*+[+/_=-]*+")
+LETTERS = re.compile(r"[A-Za-z]+")
 
 
 @lru_cache(maxsize=2)
@@ -46,12 +48,26 @@ def vocabulary(file: str):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _tokens(run: str, encoding) -> int:
+    return sum(len(encoding.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+
+
+def is_name(run: str, encoding, least_ratio: float = CHARS_A_TOKEN) -> bool:
+    """Whether a run is made of pieces that are each one token or pack well, and that pack well together."""
+    if not NAME.fullmatch(run):
+        return False
+    letters = tokens = 0
+    for piece in LETTERS.findall(run):
+        own = _tokens(piece, encoding)
+        if own > 1 and len(piece) < least_ratio * own:
+            return False
+        letters, tokens = letters + len(piece), tokens + own
+    return letters >= least_ratio * tokens
+
+
 def is_random(run: str, encoding, least_ratio: float = CHARS_A_TOKEN) -> bool:
     """Whether a run packs into few characters a token and is no known digest, number or name."""
-    if KNOWN.fullmatch(run):
-        return False
-    tokens = sum(len(encoding.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
-    return len(run) < least_ratio * tokens
+    return not KNOWN.fullmatch(run) and len(run) < least_ratio * _tokens(run, encoding) and not is_name(run, encoding, least_ratio)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

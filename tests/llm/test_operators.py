@@ -181,6 +181,22 @@ def test_random_runs(run, bad):
     assert secrets.is_random(run, secrets.vocabulary(secrets._file(None))) == bad
 
 
+@pytest.mark.parametrize("run, bad", [("xkqjvwzpbtrmhgfdlcny", True), ("XKQJ-WZPBT-TRMHG-GFDLC", True), ("Xkqjvwzpbtrmhgfdlcnys12", True), ("stripe-live-xkqjvwzpbt_v2", True), ("xk_qj_wz_pb_tr_mh_gf_dl", True), ("left-to-right-and-up-to-it", False), ("/usr/share/lib/x86_64/foo", False), ("MAXIMUM_CONNECTION_TIMEOUT", False), ("HTTPServerRequestHandler", False), ("--------------------------", False)])
+def test_letters_of_one_case_are_measured(run, bad):
+    assert secrets.is_random(run, secrets.vocabulary(secrets._file(None))) == bad
+
+
+def test_random_letters_and_keys_are_found(spark):
+    rng = random.Random(9)
+    runs = []
+    for k in range(400):
+        draw = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ" if k % 2 else "abcdefghijklmnopqrstuvwxyz") for _ in range(n))  # noqa: E731, B023
+        runs.append("-".join(draw(5) for _ in range(5)) if k % 4 > 1 else draw(rng.randrange(24, 65)))
+    df = spark.createDataFrame([(i, f"a key {run} here") for i, run in enumerate(runs)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
+    assert sum(found[i] == f"random:6:{6 + len(run)}" for i, run in enumerate(runs)) >= 0.98 * len(runs)
+
+
 def test_long_runs_take_time_in_proportion():
     import time
 
