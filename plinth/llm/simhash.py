@@ -20,7 +20,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -233,6 +233,24 @@ def links(prints: DataFrame) -> DataFrame:
     return found.filter(F.col("part").isNull()).unionByName(more).select("a", "b")
 
 
+def _rows(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
+    """(doc_id, print) of each row, and the columns `more` (binary)."""
+    given = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *[c.alias(f"more_{i}") for i, c in enumerate(more)])
+
+    def run(x: dict) -> dict:
+        return x | {"print": np.array([fingerprint(t) for t in x["text"]], np.uint64).view(np.int64)}
+
+    kind = df.schema[key].dataType.simpleString()
+    return durable(map_columns(given, run, ", ".join([f"doc_id {kind}, print long", *[f"more_{i} binary" for i in range(len(more))]])))
+
+
+def _firsts(rows: DataFrame, order: Column) -> DataFrame:
+    """(print, first, root) of each fingerprint: the least `order` among its rows, and the fingerprint that names its component."""
+    prints = durable(rows.groupBy("print").agg(F.min(order).alias("first")))
+    roots = components(links(prints.select("print")))
+    return prints.join(roots, prints["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links of at most 4 differing bits reach.
 
@@ -240,26 +258,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     fingerprints are met once, however many rows have them. Rows that share an id are rows each;
     null ids are never a component's id unless it has no other. Other columns are not read.
     """
-
-    def run(x: dict) -> dict:
-        return {"doc_id": x["doc_id"], "print": np.array([fingerprint(t) for t in x["text"]], np.uint64).view(np.int64)}
-
-    kind = df.schema[key].dataType.simpleString()
-    rows = durable(map_columns(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, print long"))
-    prints = durable(rows.groupBy("print").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(prints.select("print")))
-    joined = prints.join(roots, prints["print"] == roots["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rows = _rows(df, key, text)
+    joined = _firsts(rows, F.col("doc_id"))
+    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = durable(joined.join(least, "root").select(F.col("print").alias("class_print"), "component_id"))
     return rows.join(classes, rows["print"] == classes["class_print"]).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `df`, with all their columns, that stand for their component: the row of the least id, and where rows share that id the one of the least text."""
-    kept = near_duplicates(df, key, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    rows = df.join(kept, F.col(key).eqNullSafe(F.col("__kept_id")), "left_semi")
-    first = Window.partitionBy(key).orderBy(text)
-    return rows.withColumn("__place", F.row_number().over(first)).filter("__place = 1").select(*[F.col(f"`{c}`") for c in df.columns])
+    """One row of each component, with all its columns: the one of the least id, null ids last, and of the least digest where rows share that id.
+
+    Rows of null or repeated ids are told apart by a digest of id and text; of rows equal in both, which lie in one component, any one stays.
+    """
+    same = F.unhex(F.sha2(F.concat_ws("/", F.coalesce(F.sha2(F.col(text), 256), F.lit("")), F.col(key).cast("string")), 256))
+    firsts = _firsts(_rows(df, key, text, same), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("more_0").alias("same")))
+    kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.same").alias("__kept"))
+    # Copies of one id go before the shuffle: a window's first places are picked in each partition first.
+    place = F.row_number().over(Window.partitionBy("__same").orderBy("__same"))
+    rows = df.withColumn("__same", same).withColumn("__place", place).filter("__place = 1")
+    return rows.join(kept, F.col("__same") == F.col("__kept"), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

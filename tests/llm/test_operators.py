@@ -146,6 +146,27 @@ def test_one_of_each(docs):
     assert len(ids) == len(set(ids)) and 1 in ids and 2 not in ids
 
 
+def test_one_of_each_of_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") * 3 for _ in range(40)) for _ in range(9)]
+    assert len({*slow_components([slow_print(t) for t in texts])}) == len(texts)
+    rows = [(None, t) for t in texts[:4]] + [(None, texts[0]), (None, texts[4] + " end"), (3, texts[4]), (8, texts[5]), (8, texts[6]), (8, texts[7]), (9, texts[7]), (10, None), (None, "")]
+    rows += [(7, texts[8])] * 50
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(4)
+    found = simhash.one_of_each(df)
+    assert found.columns == df.columns
+    prints = [slow_print(t) for _, t in rows]
+    label = slow_components(prints)
+    groups = defaultdict(list)
+    for (i, t), k in zip(rows, label, strict=True):
+        groups[k].append((i, t))
+    kept = [(r["doc_id"], r["text"]) for r in found.collect()]
+    assert len(kept) == len(groups)
+    for own in groups.values():
+        (i, t), = [x for x in kept if x in own]
+        assert i == min((i for i, _ in own if i is not None), default=None)
+
+
 # ---- 3
 
 
