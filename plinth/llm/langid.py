@@ -10,6 +10,7 @@ folded into two tables indexed by pairs of bytes: a position costs two look-ups
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -32,6 +33,12 @@ EXCERPTS, EXCERPT = 3, 160
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 #: A filter keeps texts whose best language has this share or more.
 LEAST_SCORE = 0.35
+#: It also asks for this part of the share of known letter trigrams that all but a hundredth of the learned excerpts have: a softmax over the learned languages can't tell that a text is in none of them.
+LEAST_KNOWN = 0.7
+#: Runs that say nothing of a language: keys, digests, addresses.
+NO_WORD = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+#: Bytes whose trigrams are looked up at once.
+SPAN = 1 << 16
 #: Windows scored at once.
 BLOCK = 512
 
@@ -44,6 +51,8 @@ class Network:
     bias: np.ndarray  # all filters
     weights: np.ndarray  # all filters x languages
     offset: np.ndarray
+    trigrams: np.ndarray  # of the letters learned from
+    least_known: float  # least share of them in a text of a learned language
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """What the pairs of bytes at a position and two bytes on add to each filter's response."""
@@ -83,7 +92,40 @@ def windows_of(text: str) -> np.ndarray:
     return np.frombuffer(own.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 7) -> Network:
+_LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.int32)
+
+
+def trigrams_of(text: str) -> Iterator[np.ndarray]:
+    """Byte trigrams around each letter, A-Z in lower case, everything that is no letter as a blank."""
+    own = b" " + NO_WORD.sub(b" ", text.encode("utf-8", "surrogatepass")) + b" "
+    for at in range(0, len(own) - 2, SPAN):
+        x = _LETTERS[np.frombuffer(own[at : at + SPAN + 2], np.uint8)]
+        yield (x[:-2] << 16 | x[1:-1] << 8 | x[2:])[x[1:-1] != 32]
+
+
+def known_share(text: str, table: np.ndarray) -> float:
+    """The share of a text's trigrams that have their bit set in `table`; 1 if it has none."""
+    n = known = 0
+    for x in trigrams_of(text):
+        n, known = n + len(x), known + int((table[x >> 3] >> (x & 7) & 1).sum())
+    return known / n if n else 1.0
+
+
+def trigram_table(trigrams: np.ndarray) -> np.ndarray:
+    """A bit for each possible trigram: 2 MB."""
+    out = np.zeros(1 << 21, np.uint8)
+    np.bitwise_or.at(out, trigrams >> 3, (1 << (trigrams & 7)).astype(np.uint8))
+    return out
+
+
+def learned_trigrams(texts: list[str]) -> tuple[np.ndarray, float]:
+    """The trigrams of all texts, and the least share of them to ask for, from how many each fourth text shares with the others."""
+    distinct = lambda own: np.unique(np.concatenate([np.empty(0, np.int32), *(np.unique(g) for x in own for g in trigrams_of(x))]))
+    table = trigram_table(distinct([x for i, x in enumerate(texts) if i % 4]))
+    return distinct(texts), LEAST_KNOWN * float(np.quantile([known_share(x, table) for x in texts[::4]], 0.01))
+
+
+def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], trigrams: np.ndarray, least_known: float, seed: int = 7) -> Network:
     """Adam on the cross-entropy, each language weighing the same."""
     rng = np.random.default_rng(seed)
     n_filters = FILTERS * len(WIDTHS)
@@ -129,7 +171,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
                 v += 0.001 * (g * g - v)
                 q -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     found = iter(params[1:-3])
-    return Network(languages, params[0], [[next(found) for _ in range(width)] for width in WIDTHS], *params[-3:])
+    return Network(languages, params[0], [[next(found) for _ in range(width)] for width in WIDTHS], *params[-3:], trigrams, least_known)
 
 
 def excerpts(df: DataFrame, key: str, text: str, label: str) -> DataFrame:
@@ -160,7 +202,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
         at = int(rng.integers(0, max(1, len(x) - n)))
         pieces.append(x[at : at + n])
     labels = np.array([languages.index(lang) for lang, _ in rows])
-    return train(np.concatenate([windows_of(x)[:1] for x in [*(x for _, x in rows), *pieces]]), np.concatenate([labels, labels]), languages)
+    return train(np.concatenate([windows_of(x)[:1] for x in [*(x for _, x in rows), *pieces]]), np.concatenate([labels, labels]), languages, *learned_trigrams([x for _, x in rows]))
 
 
 def predict(df: DataFrame, network: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,11 +223,12 @@ def predict(df: DataFrame, network: Network | None, key: str = "doc_id", text: s
 
 
 def accepted(df: DataFrame, network: Network | None, text: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of `df`, with all their columns, whose text is in a language the network knows: not `und`, and with a score of `least_score` or more."""
+    """The rows of `df`, with all their columns, whose text is in a language the network knows: not `und`, with a score of `least_score` or more, and of letter trigrams as well known as those it was learned from."""
     sent = df.sparkSession.sparkContext.broadcast(network)
 
     def keep(texts: list) -> list[bool]:
-        return [lang != UNKNOWN and score >= least_score for lang, score in zip(*classify(texts, sent.value), strict=True)]
+        found = zip(texts, *classify(texts, sent.value), strict=True)
+        return [lang != UNKNOWN and score >= least_score and known_share(t, _known(sent.value)) >= sent.value.least_known for t, lang, score in found]
 
     return filter_rows(df, text, keep)
 
@@ -202,6 +245,18 @@ def _folded(network: Network) -> tuple[np.ndarray, np.ndarray]:
     return _FOLDED[name]
 
 
+_KNOWN: dict[bytes, np.ndarray] = {}
+
+
+def _known(network: Network) -> np.ndarray:
+    """The network's trigram table, made once a worker."""
+    name = network.weights.tobytes()
+    if name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[name] = trigram_table(network.trigrams)
+    return _KNOWN[name]
+
+
 def _pieces(windows: np.ndarray) -> Iterator[np.ndarray]:
     for at in range(0, len(windows), 8 * BLOCK):
         yield windows[at : at + 8 * BLOCK]

@@ -76,6 +76,19 @@ def test_language_tables_are_the_network(sf, spark):
     assert np.allclose(net.logits(window, net.tables())[0], slow, atol=1e-3)
 
 
+def test_texts_in_no_learned_language_go(sf, spark):
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    foreign = ["Все люди рождаются свободными", "人人生而自由在尊严和权利上一律平等", "كل الناس يولدون أحرارا", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι", "xkqj wzpbt rmhgf qzxv wkjq", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "мир " * 50_000]
+    key = ' token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" ' + "qX7fP2kLm9Rt4VzW8sYb" * 5
+    rows = [(i, t, None) for i, t in enumerate(foreign)]
+    for own in (real, real.filter("lang IN ('en', 'de')"), real.filter("lang = 'en'")):
+        net = langid.fit(own)
+        clean = [(100 + r["doc_id"], r["text"][:200] + key, r["lang"]) for r in own.filter("char_length(text) > 200").limit(40).collect()]
+        kept = {r["doc_id"] for r in langid.accepted(spark.createDataFrame(rows + clean, "doc_id long, text string, lang string"), net).collect()}
+        assert kept == {i for i, _, _ in clean}
+        assert langid.accepted(own, net).count() >= 0.99 * own.count()
+
+
 # ---- 2
 
 
