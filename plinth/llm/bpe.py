@@ -205,6 +205,17 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", file: str | Non
     return map_columns(df.select(F.col(key).alias("doc_id"), F.col(ids).alias("ids")), run, f"doc_id {_kind(df, key)}, text string")
 
 
+def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", file: str | None = None) -> DataFrame:
+    """Encode and decode again in one pass: doc_id, ids and the SHA-256 of the decoded text. Null texts count as empty."""
+
+    def run(x: dict) -> dict:
+        own = tokenizer(file or path(VOCABULARY))
+        ids = [own.encode(t or "") for t in x["text"]]
+        return {"doc_id": x["doc_id"], "ids": ids, "decoded_sha256": [hashlib.sha256(own.decode(k).encode("utf-8")).hexdigest() for k in ids]}
+
+    return map_columns(_given(df, key, text), run, f"doc_id {_kind(df, key)}, ids array<int>, decoded_sha256 string")
+
+
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text", file: str | None = None) -> DataFrame:
     """Encode and decode again in one pass: doc_id, n_tokens and the SHA-256 of ids and of the decoded text. Null texts count as empty."""
 

@@ -1,5 +1,6 @@
 """The pipeline's stages against a plain version of each, run on the stage's own input."""
 
+import hashlib
 from collections import Counter
 
 import corpus_pipeline
@@ -38,6 +39,18 @@ def test_stages_follow_each_other(spark, sf, tmp_path):
     assert bag(corpus_pipeline.run(spark, sf)) == bag(encoded)
 
 
+def test_encoding_is_decoded_again(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.path(bpe.VOCABULARY))
+    texts = ["Some words, twice: some words.", "naïve Σ 日本語", "", None, "tail\u2003end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in corpus_pipeline.encode(spark, df, "").collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert found[i]["ids"] == ids and found[i]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_stages_take_empty_tables(spark, sf):
     docs = table(spark, sf, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
