@@ -267,15 +267,60 @@ def test_bpe_is_the_library(docs, none, spark, sf):
     assert bpe.encode(none).count() == bpe.digests(none).count() == 0
 
 
-def test_pair_tree_keeps_its_least():
-    rng = random.Random(2)
-    keys = [rng.randrange(10**6) for _ in range(700)]
-    tree = bpe.PairTree(list(keys))
-    for _ in range(400):
-        i, k = rng.randrange(700), rng.randrange(10**6)
-        keys[i] = k
-        tree.set(i, k)
-        assert tree.least() == min(keys)
+def test_pair_trees_keep_their_least():
+    rng = np.random.default_rng(2)
+    for width in (1, 2, 64):
+        keys = rng.integers(0, 10**6, (9, width))
+        trees = bpe.PairTrees(keys)
+        for _ in range(200):
+            rows, places = np.array([2, 5, 7]), rng.integers(0, width, 3)
+            keys[rows, places] = new = rng.integers(0, 10**6, 3)
+            trees.set(rows, places, new)
+            assert trees.least(np.arange(9)).tolist() == keys.min(axis=1).tolist()
+
+
+def test_every_piece_of_two_bytes_or_more_is_merged_by_a_tree(monkeypatch):
+    rows = []
+
+    class Counted(bpe.PairTrees):
+        def __init__(self, keys):
+            super().__init__(keys)
+            rows.append(len(keys))
+
+    monkeypatch.setattr(bpe, "PairTrees", Counted)
+    own = bpe.Tokenizer(bpe.path(bpe.VOCABULARY))
+    text = " ".join(t or "" for _, t, _, _ in texts_of()) + " it's Über 12 " + "ab" * 700
+    own.encode(text)
+    pieces = {p for part in own.pieces_of(text) if isinstance(part, list) for p in part}
+    assert sum(rows) == len(pieces) and len({len(p).bit_length() for p in pieces}) > 4
+
+
+def test_pairs_are_ranked_as_the_file_ranks_them():
+    own = bpe.tokenizer(bpe.path(bpe.VOCABULARY))
+    rng = random.Random(4)
+    pairs = {rng.randrange(1 << 36): k for k in range(5000)}
+    ranks = bpe.Ranks(pairs)
+    asked = np.array([*pairs, *(rng.randrange(1 << 36) for _ in range(5000))])
+    assert ranks.of(asked >> 20, asked & ((1 << 20) - 1)).tolist() == [pairs.get(k, bpe.NEVER) for k in asked.tolist()]
+    assert own.ranks.of(np.array([own.void]), np.array([own.void])).tolist() == [bpe.NEVER]
+
+
+def test_pieces_are_kept_in_two_generations():
+    asked = []
+    store = bpe.Store(lambda texts: asked.extend(texts) or [t.encode() for t in texts], 4)
+    for texts in (["a", "b"], ["a", "c", "d"], ["a", "e" * 100, "e" * 100], ["b", "a"], ["a"]):
+        store.renew()
+        at = [store[t] for t in texts]
+        store.settle()
+        assert [store.values[k] for k in at] == [t.encode() for t in texts]
+    assert asked == ["a", "b", "c", "d", "e" * 100]
+
+
+def test_latin_texts_are_cut_as_any_other():
+    rng = random.Random(5)
+    for _ in range(2000):
+        text = "".join(chr(rng.choice([rng.randrange(256), rng.randrange(97, 123), 39])) for _ in range(40))
+        assert bpe.cut(text) == bpe.PIECES.findall(text.lower())
 
 
 # ---- 5
