@@ -7,9 +7,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from .operators import ddl
+from .operators import ddl, dml
 from .operators.query import Query
 from .operators.services import Advice, Cache, Profiler
+from .sources import files
 
 
 class Database:
@@ -23,6 +24,7 @@ class Database:
         self.plugins: dict[str, Any] = {}
         self.cache, self.profiler, self.advice = Cache(), Profiler(), Advice()
         self.constraints = ddl.Constraints()
+        self.relations: dict[str, dict[str, tuple]] = {}
 
     def frame(self, name: str) -> DataFrame:
         found = self.tables.get(name)
@@ -111,6 +113,31 @@ class Database:
 
     fetch_column = raw_query_value
 
+    # ---- relations
+
+    def relate(self, table: str, name: str, kind: str, other: str, **given: Any) -> None:
+        """A relation for Query.with_related(): has_one, has_many, belongs_to or has_many_through, with that function's keys (and `junction`, a table's name)."""
+        self.relations.setdefault(table, {})[name] = (kind, other, given)
+
+    # ---- whole catalog
+
+    def seed(self, name: str, source: Any, columns: Any = None) -> DataFrame:
+        """Fill a table from another one's rows, by place."""
+        found = self.frame(source) if isinstance(source, str) else source
+        self.put(name, dml.insert_from(self.frame(name), found, columns))
+        return self.tables[name]
+
+    def dump(self, path: str, tables: Any = None) -> list[str]:
+        """Write tables (all without names) below a folder; gives their names."""
+        names = sorted(tables or self.tables)
+        for name in names:
+            files.dump(self.frame(name), f"{path}/{name}.parquet")
+        return names
+
+    def restore(self, path: str, tables: Any) -> None:
+        for name in tables:
+            self.put(name, files.restore(self.spark, f"{path}/{name}.parquet"))
+
     # ---- extension
 
     def macro(self, name: str, function: Callable[..., Query]) -> None:

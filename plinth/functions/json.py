@@ -90,11 +90,25 @@ def json_type(x: Any, path: Path = None) -> Column:
 
 
 def json_array(*values: Any) -> Column:
-    return F.lit(_json.dumps(list(values), ensure_ascii=False))
+    """Literals and columns; columns of several types are written as JSON each."""
+    if not any(isinstance(v, Column) for v in values):
+        return F.lit(_json.dumps(list(values), ensure_ascii=False))
+    return F.concat(F.lit("["), F.concat_ws(",", *[_written(v) for v in values]), F.lit("]"))
 
 
 def json_object(pairs: dict[str, Any]) -> Column:
-    return F.lit(_json.dumps(pairs, ensure_ascii=False))
+    """Literals and columns; a null stays as JSON null."""
+    if not any(isinstance(v, Column) for v in pairs.values()):
+        return F.lit(_json.dumps(pairs, ensure_ascii=False))
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(_json.dumps(k, ensure_ascii=False) + ":"), _written(v)) for k, v in pairs.items()]), F.lit("}"))
+
+
+def _written(v: Any) -> Column:
+    """A value as JSON text."""
+    if not isinstance(v, Column):
+        return F.lit(_json.dumps(v, ensure_ascii=False))
+    # As the only element of an array a value of any type is written by to_json, a null too.
+    return F.regexp_replace(F.to_json(F.array(v), {"ignoreNullFields": "false"}), r"^\[|\]$", "")
 
 
 def _change(x: Any, path: Path, how: str, new: Any) -> Column:
@@ -107,7 +121,9 @@ def _change(x: Any, path: Path, how: str, new: Any) -> Column:
     def changed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else changed_text(t, steps, how, new), na_action="ignore")
 
-    return changed(col(x).cast("string"))
+    text = col(x).cast("string")
+    # Nothing is there to be replaced or removed in most texts without the path: they don't go to Python.
+    return changed(text) if how == "set" else F.when(F.coalesce(_variant(text, path).isNotNull(), F.lit(False)), changed(F.when(_variant(text, path).isNotNull(), text))).otherwise(text)
 
 
 def changed_text(text: str, steps: Sequence[str], how: str, new: Any = None) -> str:

@@ -350,11 +350,43 @@ def least(*args: Any) -> Column:
 
 
 def match(columns: Any, terms: str, mode: str | None = None) -> Column:
-    """Full-text search over the words of one or more columns: `&` and blanks mean all, `|` means any, `!` without."""
+    """Full-text search over the words of one or more columns: `&` and blanks mean all, `|` means any, `!` without. In the mode "natural" blanks mean any, and `&`, `|` and `!` mean nothing; "boolean" and no mode are the same."""
+    if mode and mode.lower().split()[0] not in ("natural", "boolean"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode and mode.lower().startswith("natural"):
+        terms = "|".join(re.findall(r"[^\s&|!]+", terms))
+    line = _line(columns)
+    # The text is cut into words once (the one-element array binds them), and only if it holds what a match must.
+    return _may_match(line, terms) & F.exists(F.array(_cut(line)), lambda found: _matches(found, terms))
+
+
+def match_rank(columns: Any, terms: str) -> Column:
+    """How often the terms (without their signs) occur among the words of the columns, over the number of words; 0 without words."""
+    wanted = sorted({t.lower() for t in re.findall(r"[^\s&|!*]+", terms)})
+    words = F.filter(_cut(_line(columns)), lambda w: w != "")
+    hits = lambda found: F.size(F.filter(found, lambda w: w.isin(*wanted))) / F.greatest(F.size(found), F.lit(1))
+    return F.transform(F.array(words), hits)[0].cast("double") if wanted else F.lit(0.0)
+
+
+def _line(columns: Any) -> Column:
     names = [columns] if isinstance(columns, (str, Column)) else list(columns)
-    words = F.split(F.lower(F.concat_ws(" ", *map(col, names))), r"[^\p{L}\p{N}]+")
-    # The text is cut into words once: the one-element array binds them.
-    return F.exists(F.array(words), lambda found: _matches(found, terms))
+    return F.lower(F.concat_ws(" ", *map(col, names)))
+
+
+def _cut(line: Column) -> Column:
+    return F.split(line, r"[^\p{L}\p{N}]+")
+
+
+def _may_match(line: Column, terms: str) -> Column:
+    """A test by plain search that every match passes: one group of terms has all that it asks for somewhere in the text."""
+    some = F.lit(False)
+    for group in filter(None, (g.strip() for g in terms.split("|"))):
+        asked = [t.rstrip("*").lower() for t in re.split(r"[&\s]+", group) if t and not t.startswith("!")]
+        every = F.lit(True)
+        for t in asked:
+            every = every & F.contains(line, F.lit(t))
+        some = some | every
+    return some
 
 
 def _matches(words: Column, terms: str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +78,7 @@ class Constraint:
     expression: str | None = None
     ref_table: str | None = None
     ref_columns: tuple[str, ...] = ()
+    include: tuple[str, ...] = ()
 
 
 @dataclass
@@ -101,15 +102,25 @@ class Constraints:
     def add_foreign_key(self, name: str, table: str, columns: Sequence[str], ref_table: str, ref_columns: Sequence[str]) -> None:
         self._add(table, Constraint("foreign", name, tuple(columns), None, ref_table, tuple(ref_columns)))
 
-    def create_index(self, name: str, table: str, columns: Sequence[str], unique: bool = False) -> None:
-        self._add(table, Constraint("unique" if unique else "index", name, tuple(columns)))
+    def create_index(self, name: str, table: str, columns: Sequence[str], unique: bool = False, where: str | None = None, include: Sequence[str] = ()) -> None:
+        """`where`: only the rows that the index is about; `include`: columns read with it."""
+        self._add(table, Constraint("unique" if unique else "index", name, tuple(columns), where, include=tuple(include)))
+
+    def create_fulltext_index(self, name: str, table: str, columns: Sequence[str]) -> None:
+        self._add(table, Constraint("fulltext", name, tuple(columns)))
+
+    def layout(self, table: str) -> dict[str, list[str]]:
+        """What the indexes ask of the table's files: columns to sort by, those of the first index first, and columns for Bloom filters (unique keys)."""
+        found = self.listed(table)
+        sort = list(dict.fromkeys(k for c in found if c.kind in ("primary", "index") for k in c.columns))
+        return {"sort_by": sort, "bloom": list(dict.fromkeys(k for c in found if c.kind in ("primary", "unique") for k in c.columns))}
 
     def drop(self, name: str, table: str) -> None:
         self.held.get(table, {}).pop(name, None)
 
     def rename(self, old: str, table: str, new: str) -> None:
         c = self.held[table].pop(old)
-        self._add(table, Constraint(c.kind, new, c.columns, c.expression, c.ref_table, c.ref_columns))
+        self._add(table, replace(c, name=new))
 
     def exists(self, name: str, table: str, kind: str | None = None) -> bool:
         c = self.held.get(table, {}).get(name)
@@ -124,6 +135,7 @@ class Constraints:
         for c in self.listed(table):
             if c.kind in ("primary", "unique"):
                 known = df.dropna(subset=list(c.columns)) if c.kind == "unique" else df
+                known = known if c.expression is None else known.filter(c.expression)
                 out[c.name] = known.groupBy(*c.columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1 if c.kind == "unique" else (F.col("n") > 1) | F.greatest(*[F.col(k).isNull() for k in c.columns], F.lit(False)))
             elif c.kind == "check":
                 out[c.name] = df.filter(~F.coalesce(F.expr(c.expression), F.lit(True)))

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..functions import json as js
 from ..functions.aggregate import Aggregate, Windowed, ordering
 from ..functions.core import _bound, col
-from . import dml, paginate
+from . import dml, paginate, relations
 from .predicates import Conditions, Grammar, condition, frame_of, is_query
 
 if TYPE_CHECKING:
@@ -42,8 +42,9 @@ class State:
     ctes: tuple = ()
     hints: tuple = ()
     index: str | None = None
-    cached: str | None = None
+    cached: tuple | None = None
     duplicates: tuple | None = None
+    related: tuple = ()
     scopes_off: Any = ()
 
 
@@ -204,8 +205,9 @@ class Query(Grammar):
     def without_global_scopes(self) -> Query:
         return self._with(scopes_off=None)
 
-    def cache(self, key: str | None = None) -> Query:
-        return self._with(cached=key or "")
+    def cache(self, key: str | None = None, ttl: float | None = None) -> Query:
+        """Keep the result, for `ttl` seconds or until a table that the query names is changed."""
+        return self._with(cached=(key, ttl))
 
     def no_cache(self) -> Query:
         return self._with(cached=None)
@@ -251,7 +253,22 @@ class Query(Grammar):
                 if name not in self.state.scopes_off:
                     query = scope(query)
         frame = query._plan({})
-        return frame if self.state.cached is None else self.db.cache.keep(frame, self.state.cached or None)
+        if self.state.related:
+            frame = relations.loaded(self.db, self.state.prefix + self.state.source.split()[0], frame, self.state.related)
+        return frame if self.state.cached is None else self.db.cache.keep(frame, self.state.cached[0], self.state.cached[1], self.table_names())
+
+    def table_names(self) -> set[str]:
+        """The catalog's tables that this query and those inside it name."""
+        s = self.state
+        found: set[str] = set()
+        own = {c[0] for c in s.ctes}
+        for given in (s.source, *(j[1] for j in s.joins), *(c[1] for c in s.ctes), *(q for _, q in s.sets)):
+            given = given[0] if isinstance(given, tuple) else given
+            if isinstance(given, Query):
+                found |= given.table_names()
+            elif isinstance(given, str) and given.split()[0] not in own and len(given.split()) < 4:
+                found.add(s.prefix + given.split()[0])
+        return found
 
     def _plan(self, outer: dict[str, DataFrame]) -> DataFrame:
         s = self.state
@@ -332,6 +349,21 @@ class Query(Grammar):
     def get_one(self) -> Row | None:
         return self.limit(1).get().first()
 
+    def find_one(self, key: Any, column: str = "id") -> Row | None:
+        """The row of a key, or of a dict of columns and values."""
+        return self._keyed(key, column).get_one()
+
+    def find_all(self, key: Any = None, column: str = "id") -> list[Row]:
+        """The rows of a key, of any of a list of keys, or of a dict; all without one."""
+        return self._keyed(key, column).get().collect()
+
+    def _keyed(self, key: Any, column: str) -> Query:
+        return self if key is None else self.where(key) if isinstance(key, dict) else self.where_in(column, key) if isinstance(key, (list, tuple)) else self.where(column, key)
+
+    def with_related(self, *paths: str) -> Query:
+        """Relations defined by Database.relate(), each as a column; a dotted path goes through relations of the related rows."""
+        return self._with(related=(*self.state.related, *paths))
+
     def get_column(self, name: str | None = None) -> list | dict:
         found = self.rows()
         pick = (lambda r: r[name]) if name else (lambda r: r[0])
@@ -389,6 +421,7 @@ class Query(Grammar):
         name = self.state.prefix + self.state.source.split()[0]
         new = change(self.db.frame(name))
         self.db.put(name, new)
+        self.db.cache.invalidate_tables(name)
         return new
 
     def on_duplicate(self, sets: dict[str, Any] | Iterable[str], keys: Any = "id") -> Query:
@@ -412,9 +445,8 @@ class Query(Grammar):
     replace_multi = replace
 
     def update(self, sets: dict[str, Any]) -> DataFrame:
-        """Rows under the conditions; with limit(), the first in the query's order, which must be over columns that tell rows apart."""
-        names = [paginate.parsed_order(o)[0] for o in self.state.order]
-        return self._changed(lambda t: dml.update(t, sets, self.state.where.column(), self.state.limit, names))
+        """Rows under the conditions; with limit(), the first in the query's order."""
+        return self._changed(lambda t: dml.update(t, sets, self.state.where.column(), self.state.limit, self.state.order))
 
     def delete(self) -> DataFrame:
         kept = self.state.where.column()

@@ -14,7 +14,7 @@ def _struct(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
 
 
 def has_many(parents: DataFrame, children: DataFrame, foreign_key: str, local_key: str = "id", name: str = "children", columns: Sequence[str] | None = None) -> DataFrame:
-    """An array of the children, in the order of their columns; empty if there are none."""
+    """An array of the children, in the order of their columns; empty if there are none. A parent's children are one value and so meet in one task: relate what is bounded, and join what isn't."""
     packed = F.struct(*_struct(children, columns))
     lists = children.groupBy(F.col(foreign_key).alias("__fk")).agg(F.sort_array(F.collect_list(packed)).alias(name))
     joined = parents.join(lists, F.col(local_key) == F.col("__fk"), "left").drop("__fk")
@@ -42,6 +42,27 @@ def has_many_through(parents: DataFrame, junction: DataFrame, children: DataFram
     return joined.withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
 
 
+KINDS = {"has_many": has_many, "has_one": has_one, "belongs_to": belongs_to}
+
+
+def loaded(db, table: str, df: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """`df`, rows of `table`, with the relations named by dotted paths beside each row, as nested columns. One join a relation."""
+    tree: dict[str, list[str]] = {}
+    for path in paths:
+        name, _, rest = path.partition(".")
+        tree.setdefault(name, []).extend([rest] if rest else [])
+    for name, below in tree.items():
+        if name not in db.relations.get(table, {}):
+            raise ValueError(f"no relation {name!r} of {table}")
+        kind, other, given = db.relations[table][name]
+        related = loaded(db, other, db.frame(other), below)
+        if kind == "has_many_through":
+            df = has_many_through(df, db.frame(given["junction"]), related, name=name, **{k: v for k, v in given.items() if k != "junction"})
+        else:
+            df = KINDS[kind](df, related, name=name, **given)
+    return df
+
+
 # ---- row quality ----------------------------------------------------------------
 
 
@@ -49,8 +70,13 @@ def required(column: str):
     return F.col(column).isNotNull() & (F.trim(F.col(column).cast("string")) != "")
 
 
+def _blank(column: str):
+    """Null and empty values break no rule but required()."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("")) == ""
+
+
 def email(column: str):
-    return F.coalesce(F.regexp_like(F.col(column), F.lit(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")), F.lit(False))
+    return _blank(column) | F.coalesce(F.regexp_like(F.col(column), F.lit(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")), F.lit(False))
 
 
 def integer(column: str, low: int | None = None, high: int | None = None):
@@ -60,13 +86,13 @@ def integer(column: str, low: int | None = None, high: int | None = None):
         fits = fits & (number >= low)
     if high is not None:
         fits = fits & (number <= high)
-    return F.coalesce(fits, F.lit(False))
+    return _blank(column) | F.coalesce(fits, F.lit(False))
 
 
 def string(column: str, shortest: int = 0, longest: int | None = None):
     n = F.char_length(F.col(column))
     fits = n >= shortest if longest is None else n.between(shortest, longest)
-    return F.coalesce(fits, F.lit(False))
+    return _blank(column) | F.coalesce(fits, F.lit(False))
 
 
 def violations(df: DataFrame, rules: dict) -> DataFrame:

@@ -6,14 +6,14 @@ import fnmatch
 import re
 import time
 from collections import defaultdict
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from contextlib import contextmanager, redirect_stdout
 from dataclasses import dataclass
 from functools import reduce
 from io import StringIO
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -21,27 +21,36 @@ from ..functions.core import col
 
 
 class Cache:
-    """Results kept by Spark, found again by the meaning of their plan or by a key. Writes don't invalidate them; the caller does."""
+    """Results kept by Spark, found again by the meaning of their plan or by a key, until their time is up or a table they read is changed."""
 
     def __init__(self) -> None:
-        self.kept: dict[str, DataFrame] = {}
+        self.kept: dict[str, tuple[DataFrame, float | None, frozenset[str]]] = {}
         self.hits = self.misses = 0
 
-    def keep(self, df: DataFrame, key: str | None = None) -> DataFrame:
-        name = key or f"plan:{df.semanticHash()}"
-        if name in self.kept:
+    def keep(self, df: DataFrame, key: str | None = None, ttl: float | None = None, tables: Iterable[str] = ()) -> DataFrame:
+        """`ttl` in seconds; `tables`: names whose change invalidates the result."""
+        name, now = key or f"plan:{df.semanticHash()}", time.monotonic()
+        found = self.kept.get(name)
+        if found and (found[1] is None or now < found[1]):
             self.hits += 1
-        else:
-            self.misses += 1
-            self.kept[name] = df.persist(StorageLevel.MEMORY_AND_DISK)
-        return self.kept[name]
-
-    def invalidate(self, pattern: str = "*") -> int:
-        names = fnmatch.filter(self.kept, pattern)
+            return found[0]
+        if found:
+            self.kept.pop(name)[0].unpersist()
+        self.misses += 1
+        self.kept[name] = (df.persist(StorageLevel.MEMORY_AND_DISK), None if ttl is None else now + ttl, frozenset(tables))
+        return self.kept[name][0]
+
+    def _drop(self, names: list[str]) -> int:
         for name in names:
-            self.kept.pop(name).unpersist()
+            self.kept.pop(name)[0].unpersist()
         return len(names)
 
+    def invalidate(self, pattern: str = "*") -> int:
+        return self._drop(fnmatch.filter(self.kept, pattern))
+
+    def invalidate_tables(self, *tables: str) -> int:
+        return self._drop([name for name, (_, _, read) in self.kept.items() if read & set(tables)])
+
     def stats(self) -> dict[str, int]:
         return {"entries": len(self.kept), "hits": self.hits, "misses": self.misses}
 
@@ -127,6 +136,30 @@ def range_shard(key: Any, ranges: Sequence[tuple[str, Any, Any]]) -> Column:
     return lost if out is None else out.otherwise(lost)
 
 
+class Sharded:
+    """One table in several, a row's shard given by its key: "hash", "modulo" or ranges {name: (low, high)}. A query for one key reads one shard."""
+
+    def __init__(self, spark: SparkSession, key: str, shards: dict[str, DataFrame | str], rule: Any = "hash"):
+        self.spark, self.key, self.shards, self.rule = spark, key, shards, rule
+
+    def column(self, key: Any = None) -> Column:
+        """The name of a row's shard."""
+        names = F.array(*map(F.lit, self.shards))
+        if isinstance(self.rule, dict):
+            return range_shard(key if key is not None else self.key, [(name, low, high) for name, (low, high) in self.rule.items()])
+        number = (hash_shard if self.rule == "hash" else modulo_shard)(key if key is not None else self.key, len(self.shards))
+        return F.element_at(names, number)
+
+    def shard_of(self, value: Any) -> str:
+        return self.spark.range(1).select(self.column(F.lit(value))).first()[0]
+
+    def frame(self, value: Any = None) -> DataFrame:
+        """The rows of a key, read from its shard alone; all shards without a key."""
+        held = [self.shards[self.shard_of(value)]] if value is not None else list(self.shards.values())
+        found = reduce(DataFrame.unionByName, [x if isinstance(x, DataFrame) else self.spark.read.parquet(x) for x in held])
+        return found if value is None else found.filter(F.col(self.key) == F.lit(value))
+
+
 def search(df: DataFrame, term: str) -> DataFrame:
     """Rows in which any column, as text, contains the term."""
     as_text = lambda f: F.to_json(F.col(f"`{f.name}`")) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f"`{f.name}`").cast("string")

@@ -36,7 +36,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Query]:
-    from . import changes, relational, scalars  # noqa: F401  registers
+    from . import changes, relational, scalars, surface  # noqa: F401  registers
 
     return dict(_QUERIES)
 

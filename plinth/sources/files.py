@@ -24,25 +24,54 @@ def _not_all_empty(df: DataFrame) -> DataFrame:
     return df.filter(reduce(lambda a, b: a | b, (F.coalesce(F.trim(F.col(f"`{c}`")), F.lit("")) != "" for c in df.columns))) if df.columns else df
 
 
+#: Lines that the names in a header may fill.
+HEAD_LINES = 64
+
+
 def load_csv(spark: SparkSession, path: str, fields: Sequence[str] | None = None, separator: str = ",", quote: str = '"', skip: int = 0, prefix: str | None = None) -> DataFrame:
-    """All columns as text, trimmed. Without `fields` the first row that isn't blank names the columns. Short rows are filled with nulls, long ones cut, blank and all-empty ones dropped; the first `skip` rows and lines without `prefix` are passed over, and so are all lines equal to the header."""
-    lines = spark.read.text(path, wholetext=False).withColumnRenamed("value", "line")
+    """All columns as text, trimmed.
+
+    Without `fields` the first row of each file that isn't skipped names the columns. Quoted values
+    may hold line breaks, so a file is read in one piece, row by row: write large tables as many
+    files. Short rows are filled with nulls, long ones cut, blank and all-empty ones dropped; the
+    first `skip` rows of each file are passed over. With `prefix` only lines that begin with it
+    count, and their values hold no line breaks.
+    """
     if prefix:
-        lines = lines.filter(F.col("line").startswith(prefix)).select(F.substr("line", F.lit(len(prefix) + 1)).alias("line"))
-    lines = lines.filter(F.trim("line") != "")
-    names, drop_header = list(fields or []), False
-    heads = [r["line"] for r in lines.limit(skip + 1).collect()] if skip or not names else []
+        return _prefixed_csv(spark, path, fields, separator, quote, skip, prefix)
+    reader = spark.read.options(sep=separator, quote=quote, escape=quote, multiLine=True, mode="PERMISSIVE", columnPruning=False)
+    names = list(fields or [])
     if not names:
-        if len(heads) <= skip:
+        lines = [r["value"] + "\n" for r in spark.read.text(path).filter(F.trim("value") != "").limit(skip + HEAD_LINES).collect()]
+        if len(lines) <= skip:
             return spark.createDataFrame([], _texts([]))
-        names, drop_header = [c.strip() for c in next(csv.reader([heads[skip]], delimiter=separator, quotechar=quote))], True
-    if drop_header:
-        lines = lines.filter(F.col("line") != heads[skip])  # in a folder every file has it
-    if skip:
-        lines = lines.withColumn("n", F.monotonically_increasing_id()).filter(F.col("n") >= skip)
-    options = {"sep": separator, "quote": quote, "mode": "PERMISSIVE", "escape": quote}
-    parsed = lines.select(F.from_csv("line", ", ".join(f"`{n}` string" for n in names), options).alias("r")).select("r.*")
-    return _not_all_empty(parsed.select(*[F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names]))
+        names = [c.strip() for c in next(csv.reader(lines[skip:], delimiter=separator, quotechar=quote))]
+    own = skip + (not fields)
+    if own < 2:
+        rows = reader.option("header", bool(own)).option("enforceSchema", True).schema(_texts(names)).csv(path)
+    else:
+        numbered = reader.schema(_texts(names)).csv(path).select(F.struct("*").alias("row"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"))
+        first = numbered.groupBy("file").agg(F.min("place").alias("first"), F.max(F.length(F.to_json("row"))).alias("longest")).select("file", "first")  # one row a file
+        rows = numbered.join(first, "file").filter(F.col("place") - F.col("first") >= own).select("row.*")
+    return _trimmed(rows, names)
+
+
+def _trimmed(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    return _not_all_empty(rows.select(*[F.nullif(F.trim(F.col(f"`{n}`")), F.lit("")).alias(n) for n in names]))
+
+
+def _prefixed_csv(spark: SparkSession, path: str, fields: Sequence[str] | None, separator: str, quote: str, skip: int, prefix: str) -> DataFrame:
+    lines = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\r?\n"), lambda x: x.startswith(prefix)).alias("lines"))
+    lines = lines.select(F.posexplode("lines").alias("place", "line")).select("place", F.substr("line", F.lit(len(prefix) + 1)).alias("line")).filter(F.trim("line") != "")
+    names = list(fields or [])
+    if not names:
+        head = lines.filter(F.col("place") == skip).first()
+        if head is None:
+            return spark.createDataFrame([], _texts([]))
+        names = [c.strip() for c in next(csv.reader([head["line"]], delimiter=separator, quotechar=quote))]
+    kept = lines.filter(F.col("place") >= skip + (not fields))
+    parsed = kept.select(F.from_csv("line", ", ".join(f"`{n}` string" for n in names), {"sep": separator, "quote": quote, "mode": "PERMISSIVE", "escape": quote}).alias("r"))
+    return _trimmed(parsed.select("r.*"), names)
 
 
 def load_xml(spark: SparkSession, path: str, row_tag: str = "row", skip: int = 0, fields: Sequence[str] | None = None) -> DataFrame:
