@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
 #: With it on, a query's shuffle files go when it ends.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Keys with more than this part of all rows are met by a broadcast of fewer than this many rows.
+HOT = 1000
 #: Bytes of a batch between the JVM and Python, and the setting that limits them with Spark's default.
 BATCH_BYTES = 4 << 20
 BATCH_LIMIT, DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
@@ -30,32 +31,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` through spark.checkpoint.dir, the folder all executors share; only where the setting is absent (tests) a local folder is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(given or os.path.join(tempfile.gettempdir(), "plinth-checkpoints"))
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where that is unset (tests), a local one."""
+    """The folder that all executors share: spark.checkpoint.dir of the session, else the one set on its context."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return given or os.path.join(tempfile.gettempdir(), "plinth-checkpoints")
+    if not given:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return given
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet under the shared folder and read again: a smaller checkpoint() for many rows. What was shuffled for it can then go. The folder is removed when the driver's Python ends."""
+    """`df` written as Parquet under the shared folder and read again: computed once, with no lineage to go back through, and what was shuffled for it can go. forget() removes it; what is left goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/plinth-{uuid.uuid4().hex}"
+    where, system = _file_system(spark, path)
+    system.deleteOnExit(where)
     before = spark.conf.get(CLEAN_UP)
     spark.conf.set(CLEAN_UP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
-    atexit.register(_remove, spark, path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept.stored_at = path
     return kept
@@ -64,13 +59,30 @@ def stored(df: DataFrame) -> DataFrame:
 def forget(*frames: DataFrame) -> None:
     """Remove what stored() wrote for frames that nothing will read any more."""
     for df in frames:
-        _remove(df.sparkSession, df.stored_at)
+        where, system = _file_system(df.sparkSession, df.stored_at)
+        system.delete(where, True)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
+def meet(rows: DataFrame, values: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """`rows` with what `values` holds for their key, the columns `on`: one row for each key, and in `n` how many of `rows` have it.
 
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    A key of more than a HOT-th of all rows is hot; so there are fewer than HOT, and they go to every
+    task, however many rows wait for them. All other rows are shuffled by key. Both frames are read
+    more than once and should be stored; keys are not null.
+    """
+    total = values.agg(F.sum(n).alias("n")).first()["n"] or 0
+    hot = F.broadcast(values.filter(F.col(n) * HOT > total))
+    given = rows.select(*on, F.struct("*").alias("row"))
+    marked = given.join(hot.withColumn("hot", F.lit(True)), on, "left")
+    more = [c for c in values.columns if c not in on]
+    warm = marked.filter("hot").select("row", *more)
+    cold = marked.filter("hot IS NULL").select(*on, "row").join(values, on).select("row", *more)
+    return warm.unionAll(cold).select("row.*", *more)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,7 +117,7 @@ def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(whole, schema)
 
 
-def map_columns(df: DataFrame, function: Callable[[dict], dict], schema: str, rows: int = SLICE) -> DataFrame:
+def map_columns(df: DataFrame, function: Callable[[dict], dict], schema: str | StructType, rows: int = SLICE) -> DataFrame:
     """Run `function` over small slices of each partition. It gets and returns a dict of Python lists (or arrays) by column name."""
     target = schema_of(df.sparkSession, schema)
 
@@ -127,31 +139,8 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]],
     return in_arrow(df, run, df.schema)
 
 
-def schema_of(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
-class Kept(dict):
-    """What `make` gives for a text, kept in two generations of `room` texts: when the young one is full it becomes the old one, and what is asked for again is young again. Texts over 64 characters aren't kept."""
-
-    def __init__(self, make: Callable, room: int):
-        super().__init__()
-        self.make, self.room, self.old = make, room, {}
-
-    def __missing__(self, text):
-        found = self.old.get(text)
-        if found is None:
-            found = self.make(text)
-            if len(text) > 64:
-                return found
-        if len(self) >= self.room:
-            self.old = dict(self)
-            self.clear()
-        self[text] = found
-        return found
+def schema_of(spark: SparkSession, schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(schema if isinstance(schema, StructType) else StructType.fromDDL(schema))
 
 
 def unit_draw(text: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, in_arrow, map_columns, schema_of, table
+from .common import forget, in_arrow, map_columns, meet, schema_of, stored, table
 from .components import components
 
 SEED = 42
@@ -33,9 +33,11 @@ MOST_BITS = 4
 #: The Golay code's generator polynomial, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints of one key held by a task. Keys with more are dealt out anew by (key, one of five parts of the fingerprint): 4 differing bits leave a part alike.
+#: Fingerprints of one key held by a task. Keys with more are dealt out anew by (key, one of five parts of the bits that it doesn't share yet): 4 differing bits leave a part alike.
 HELD = 4096
-PARTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+PARTS = MOST_BITS + 1
+#: With so few bits left, a key holds no more fingerprints than HELD.
+FEW_BITS = 12
 #: Pairs compared at once.
 BLOCK = 1024
 
@@ -146,67 +148,82 @@ def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return prints[below], prints[root[below]]
 
 
-_LINKS = "a long, b long, part int"
+_LINKS = "a long, b long, shared long"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _linker(schema: pa.Schema, deal_out: bool):
-    """Over rows sorted by (key, part): links of each run of equal keys. With deal_out, rows of a run beyond HELD leave as (fingerprint, key, part) for another round."""
+def parts_of(prints: np.ndarray, shared: int) -> list[int]:
+    """The bits outside `shared` as PARTS masks, those that differ most among `prints` spread evenly: more than HELD fingerprints differ in 12 bits at least, so that each part tells them apart."""
+    ones = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    free = sorted((b for b in range(64) if not shared >> b & 1), key=lambda b: (-min(int(ones[b]), len(prints) - int(ones[b])), b))
+    return [sum(1 << b for b in free[k::PARTS]) for k in range(PARTS)]
+
+
+def dealt(prints: np.ndarray, key: int, shared: int, parts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, key, shared bits) for another round, one row for each part."""
+    keys, masks = [], []
+    for k, part in enumerate(parts):
+        h = (prints & np.uint64(part)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((key * 0xC2B2AE3D27D4EB4F + k * 0x165667B19E3779F9) & ((1 << 64) - 1))
+        keys.append((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+        masks.append(np.full(len(prints), shared | part, np.uint64))
+    return np.tile(prints, PARTS), np.concatenate(keys), np.concatenate(masks)
+
+
+def _linker(schema: pa.Schema):
+    """Over rows (key, fingerprint, bits that all of the key share) sorted by key: links of each run of equal keys. Rows of a run beyond HELD leave as (fingerprint, key, shared bits) for another round.
+
+    A round fixes a fifth of the bits in which they differ, so keys shrink from round to round.
+    """
 
     def links(prints: np.ndarray) -> pa.RecordBatch:
         a, b = forest(np.unique(prints))
-        return pa.RecordBatch.from_arrays([_signed(a), _signed(b), pa.nulls(len(a), pa.int32())], schema=schema)
+        return pa.RecordBatch.from_arrays([_signed(a), _signed(b), pa.nulls(len(a), pa.int64())], schema=schema)
+
+    def again(prints: np.ndarray, key: int, shared: int, parts: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(x) for x in dealt(prints, key, shared, parts)], schema=schema)
 
-    def dealt(prints: np.ndarray, key: int) -> pa.RecordBatch:
-        n = len(prints)
-        return pa.RecordBatch.from_arrays([_signed(np.tile(prints, len(PARTS))), pa.array(np.full(n * len(PARTS), key, np.int64)), pa.array(np.repeat(np.arange(len(PARTS), dtype=np.int32), n))], schema=schema)
+    def too_many(n: int, shared: int) -> bool:
+        return n > HELD and 64 - shared.bit_count() > FEW_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_key, hot = np.empty(0, np.uint64), None, False
+        held, n, now, shared, parts = [], 0, None, 0, None
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if n > 1:
+                yield links(np.concatenate(held))
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.asarray(batch.column(0))
-            prints = np.asarray(batch.column(1)).view(np.uint64)
+            key, prints, masks = np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64), np.asarray(batch.column(2)).view(np.uint64)
             edges = np.flatnonzero(key[1:] != key[:-1]) + 1
-            starts, stops = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
-            if held_key is not None and key[0] != held_key:
-                if len(held) > 1:
-                    yield links(held)
-                held, hot = np.empty(0, np.uint64), False
-            # Runs that lie whole inside the batch; the last may go on in the next one, the first may have begun before.
-            first, last = prints[: stops[0]], prints[starts[-1] :]
-            lengths = (stops - starts)[1:-1]
-            inner = prints[stops[0] : starts[-1]]
-            yield from short(inner, starts[1:-1] - stops[0], lengths)
-            if len(starts) > 1:
-                for a, n, k in zip(starts[1:-1][lengths > 2], lengths[lengths > 2], key[starts[1:-1][lengths > 2]], strict=True):
-                    yield dealt(prints[a : a + n], int(k)) if deal_out and n > HELD else links(prints[a : a + n])
-                whole = np.concatenate([held, first])
-                if hot or deal_out and len(whole) > HELD:
-                    yield dealt(whole, int(key[0]))
-                elif len(whole) > 1:
-                    yield links(whole)
-                held, hot = last, False
-            else:
-                held = np.concatenate([held, first])
-            held_key = int(key[-1])
-            if deal_out and (hot or len(held) > HELD):
-                yield dealt(held, held_key)
-                held, hot = np.empty(0, np.uint64), True
-        if len(held) > 1:
-            yield links(held)
-
-    def short(prints: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts, lengths = np.concatenate([[0], edges]), np.diff(np.concatenate([[0], edges, [len(key)]]))
+            yield from pairs(prints, starts[1:-1], lengths[1:-1])
+            # The first run may have begun in an earlier batch, and the last may go on in the next one.
+            for k in [0, *(np.flatnonzero(lengths[1:-1] > 2) + 1).tolist(), *([len(starts) - 1] if len(starts) > 1 else [])]:
+                a, size = int(starts[k]), int(lengths[k])
+                if int(key[a]) != now:
+                    yield from closed()
+                    held, n, now, shared, parts = [], 0, int(key[a]), int(masks[a]), None
+                held.append(prints[a : a + size].copy())
+                n += size
+                if parts or too_many(n, shared):
+                    whole = np.concatenate(held)
+                    parts = parts or parts_of(whole, shared)
+                    yield again(whole, now, shared, parts)
+                    held, n = [], 0
+        yield from closed()
+
+    def pairs(prints: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Runs of two, all at once."""
         two = starts[lengths == 2]
         a, b = prints[two], prints[two + 1]
         near = (np.bitwise_count(a ^ b) <= MOST_BITS) & (a != b)
         if near.any():
-            yield pa.RecordBatch.from_arrays([_signed(a[near]), _signed(b[near]), pa.nulls(int(near.sum()), pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([_signed(a[near]), _signed(b[near]), pa.nulls(int(near.sum()), pa.int64())], schema=schema)
 
     return run
 
@@ -221,16 +238,15 @@ def links(prints: DataFrame) -> DataFrame:
             key, own = keys(np.asarray(batch.column(0)).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key), _signed(own)], schema=key_schema)
 
-    met = in_arrow(prints, make, "key long, print long").repartition("key").sortWithinPartitions("key")
-    found = durable(in_arrow(met, _linker(link_schema, True), _LINKS))
-    again = found.filter(F.col("part").isNotNull())
-    part = None
-    for k, (at, n) in enumerate(PARTS):
-        bits = F.shiftrightunsigned("a", at).bitwiseAND(F.lit((1 << n) - 1))
-        part = F.when(F.col("part") == k, bits) if part is None else part.when(F.col("part") == k, bits)
-    dealt = again.select(F.xxhash64("b", "part", part).alias("key"), F.col("a").alias("print")).repartition("key").sortWithinPartitions("key")
-    more = in_arrow(dealt, _linker(link_schema, False), _LINKS)
-    return found.filter(F.col("part").isNull()).unionByName(more).select("a", "b")
+    def met(rows: DataFrame, shared: Column) -> DataFrame:
+        return stored(in_arrow(rows.repartition("key").sortWithinPartitions("key").select("key", "print", shared.alias("shared")), _linker(link_schema), _LINKS))
+
+    found = met(in_arrow(prints, make, "key long, print long"), F.lit(0).cast("long"))
+    out = found.filter("shared IS NULL")
+    while not (more := found.filter("shared IS NOT NULL")).isEmpty():
+        found = met(more.select(F.col("b").alias("key"), F.col("a").alias("print"), F.col("shared").alias("known")), F.col("known"))
+        out = out.unionByName(found.filter("shared IS NULL"))
+    return out.select("a", "b")
 
 
 def _rows(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
@@ -241,14 +257,14 @@ def _rows(df: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
         return x | {"print": np.array([fingerprint(t) for t in x["text"]], np.uint64).view(np.int64)}
 
     kind = df.schema[key].dataType.simpleString()
-    return durable(map_columns(given, run, ", ".join([f"doc_id {kind}, print long", *[f"more_{i} binary" for i in range(len(more))]])))
+    return stored(map_columns(given, run, ", ".join([f"doc_id {kind}, print long", *[f"more_{i} binary" for i in range(len(more))]])))
 
 
 def _firsts(rows: DataFrame, order: Column) -> DataFrame:
-    """(print, first, root) of each fingerprint: the least `order` among its rows, and the fingerprint that names its component."""
-    prints = durable(rows.groupBy("print").agg(F.min(order).alias("first")))
+    """(print, n, first, root) of each fingerprint: how many rows have it, the least `order` among them, and the fingerprint that names its component."""
+    prints = stored(rows.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")))
     roots = components(links(prints.select("print")))
-    return prints.join(roots, prints["print"] == roots["node"], "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+    return prints.join(roots, prints["print"] == roots["node"], "left").select("print", "n", "first", F.coalesce("root", "print").alias("root"))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,27 +272,31 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     Null, empty and blank texts have the fingerprint zero and link like any other. Equal
     fingerprints are met once, however many rows have them. Rows that share an id are rows each;
-    null ids are never a component's id unless it has no other. Other columns are not read.
+    null ids are never a component's id unless it has no other; an empty table gives none. Other
+    columns are not read.
     """
     rows = _rows(df, key, text)
-    joined = _firsts(rows, F.col("doc_id"))
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = durable(joined.join(least, "root").select(F.col("print").alias("class_print"), "component_id"))
-    return rows.join(classes, rows["print"] == classes["class_print"]).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    firsts = stored(_firsts(rows, F.col("doc_id")))
+    least = stored(firsts.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    classes = stored(meet(firsts, least, ["root"], "members").select("print", "n", "component_id"))
+    forget(firsts, least)
+    return meet(rows, classes, ["print"]).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, with all its columns: the one of the least id, null ids last, and of the least digest where rows share that id.
 
-    Rows of null or repeated ids are told apart by a digest of id and text; of rows equal in both, which lie in one component, any one stays.
+    Rows of null or repeated ids are told apart by a digest of id and text; of rows equal in both,
+    which lie in one component, any one stays. Null, empty and blank texts lie in one component. An
+    empty table gives none; columns of any name pass.
     """
     same = F.unhex(F.sha2(F.concat_ws("/", F.coalesce(F.sha2(F.col(text), 256), F.lit("")), F.col(key).cast("string")), 256))
     firsts = _firsts(_rows(df, key, text, same), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("more_0").alias("same")))
-    kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.same").alias("__kept"))
+    kept = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.same").alias("kept"))
     # Copies of one id go before the shuffle: a window's first places are picked in each partition first.
-    place = F.row_number().over(Window.partitionBy("__same").orderBy("__same"))
-    rows = df.withColumn("__same", same).withColumn("__place", place).filter("__place = 1")
-    return rows.join(kept, F.col("__same") == F.col("__kept"), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+    place = F.row_number().over(Window.partitionBy("same").orderBy("same"))
+    rows = df.select(F.struct("*").alias("row"), same.alias("same")).withColumn("place", place).filter("place = 1")
+    return rows.join(kept, F.col("same") == F.col("kept"), "left_semi").select("row.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

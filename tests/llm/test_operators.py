@@ -7,9 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
-from plinth.llm import bpe, components, langid, mixing, registry, secrets, sharding, simhash, substrings, syncmers, topk, toxicity
+from plinth.llm import bpe, common, components, langid, mixing, registry, secrets, sharding, simhash, substrings, syncmers, topk, toxicity
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, score double, tag int, row string, place int, ids array<int>, spans string, copies long, bins long, piece string"
@@ -145,6 +146,43 @@ def test_hot_key_is_dealt_out(spark, monkeypatch):
     assert len({*zip(label, found, strict=True)}) == len(set(label)) == len(set(found))
 
 
+def test_fifty_thousand_fingerprints_of_one_key(spark):
+    rng = np.random.default_rng(11)
+    mask = np.uint64((1 << 43) - 1) << np.uint64(21)  # all share the 21 bits below
+    prints = np.unique((rng.integers(0, 1 << 63, 49_000, dtype=np.uint64) & mask) | np.uint64(0x15A5A5))
+    near = prints[:1000].copy()
+    for _ in range(4):
+        near ^= np.uint64(1) << rng.integers(21, 63, len(near)).astype(np.uint64)
+    every = np.unique(np.concatenate([prints, near]))
+    key = pa.array(np.zeros(len(every), np.int64))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64())])
+    batch = pa.RecordBatch.from_arrays([key, pa.array(every.view(np.int64)), key], names=["key", "print", "shared"])
+    found, most = set(), 0
+    rows = [batch.slice(at, 7000) for at in range(0, len(every), 7000)]
+    while rows:
+        out = pa.Table.from_batches(list(simhash._linker(schema)(iter(rows))), schema)
+        a, b, shared = (np.asarray(out.column(k).combine_chunks().fill_null(-1)) for k in range(3))
+        links = np.asarray(out.column(2).is_null())
+        found |= {*zip(a[links].tolist(), b[links].tolist(), strict=True)}
+        order = np.lexsort((a[~links], b[~links]))
+        again = [x[~links][order] for x in (b, a, shared)]
+        most = max(most, len(order))
+        rows = [pa.RecordBatch.from_arrays([pa.array(x) for x in again], names=["key", "print", "shared"])] if len(order) else []
+    slow = {*zip(*(x.view(np.int64).tolist() for x in simhash.forest(every)), strict=True)}
+    assert len(found) >= len(slow) >= 990 and most <= 5 * len(every)
+    roots = lambda links: {r["node"]: r["root"] for r in components.components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    assert roots(found) == roots(slow)
+
+
+def test_hot_keys_are_met_by_broadcast(spark):
+    rows = common.stored(spark.createDataFrame([(i % 5 if i % 3 else 0, i) for i in range(3000)] + [(k, k) for k in range(100, 4000)], "k long, value long"))
+    values = common.stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("more", F.col("k") * 2))
+    found = common.meet(rows, values, ["k"])
+    assert found.columns == ["k", "value", "n", "more"]
+    assert bag(found.select("k", "value", "more").collect()) == bag((r["k"], r["value"], 2 * r["k"]) for r in rows.collect())
+    common.forget(rows, values)
+
+
 def test_components_of_chains_and_repeats(spark):
     links = [(i, i + 1) for i in range(40)] + [(60, 50), (50, 60), (70, 70), (None, 3), (80, 81), (81, 82), (82, 80)]
     roots = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
