@@ -2,15 +2,20 @@
 
 A k-mer of a text's UTF-8 bytes is an anchor (a closed syncmer) if the least hash among its s-mers
 is that of its first or last one. Whether it is one depends on its own bytes alone, so a passage has
-the same anchors wherever it stands. The fingerprint keeps, for each of 64 bins of anchor hashes,
-the least value; the share of bins in which two fingerprints agree estimates the likeness of their
-anchor sets.
+the same anchors wherever it stands; two of five places are one. The fingerprint keeps, for each of
+64 bins of anchor hashes, the anchor of the least value with its first place: as many as fit a row
+that is shuffled with its text, whatever the text's length, and drawn alike from any two texts.
+
+Two fingerprints are matched by position: the anchors that both hold are put in the order of the
+one text, and those that follow their predecessor in the other text too are matched. Likeness is
+the share of matched bins among those that either text has. A passage that has moved as a whole
+keeps its matches but for the one at its edge; anchors that meet by chance stand in no order.
 
 Being free of context, anchors also compose: those of an edited text are the anchors inside the
 part that is kept, those inside the part that is put in, and the few across the seam. Only the
 last are computed anew.
 
-A fingerprint's entries are longs, the bin in the bits from 32 on and the value below.
+A fingerprint's entries are longs: 6 bits of the bin, 26 of the value, 31 of the place.
 """
 
 from __future__ import annotations
@@ -19,10 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, table
+from .common import stored, table
 
 K, S = 12, 8
 BINS = 64
+BIN_AT, VALUE_AT = 57, 31
 #: Bytes of a text whose places are listed at a time, so that no list of places is as long as a text.
 BLOCK = 4096
 
@@ -41,8 +47,13 @@ def _bin(hashed: Column) -> Column:
     return hashed.bitwiseAND(F.lit(BINS - 1))
 
 
-def _entry(hashed: Column) -> Column:
-    return F.shiftleft(_bin(hashed), 32).bitwiseOR(F.shiftrightunsigned(hashed, 32))
+def _entry(hashed: Column, place: Column) -> Column:
+    value = F.shiftleft(F.shiftrightunsigned(hashed, 64 - (BIN_AT - VALUE_AT)), VALUE_AT)
+    return F.shiftleft(_bin(hashed), BIN_AT).bitwiseOR(value).bitwiseOR(place.cast("long"))
+
+
+def _place(entry: Column) -> Column:
+    return entry.bitwiseAND(F.lit((1 << VALUE_AT) - 1))
 
 
 def _let(value: Column, use) -> Column:
@@ -68,7 +79,7 @@ def chained(rows: DataFrame) -> DataFrame:
     """
     order = [F.col("doc_id").asc_nulls_last(), F.col("tag")]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = durable(rows.repartitionByRange(parts, *order).select("*", F.spark_partition_id().alias("part")))
+    ranged = stored(rows.repartitionByRange(parts, *order).select("*", F.spark_partition_id().alias("part")))
     me = F.struct("doc_id", "tag", "n")
     inside = Window.partitionBy("part").orderBy(*order)
     sort_key = F.struct(F.col("doc_id").isNull(), "doc_id", "tag")
@@ -86,30 +97,43 @@ def chained(rows: DataFrame) -> DataFrame:
 
 def _or_whole(entries: Column, octets: Column) -> Column:
     """A text without anchors has its own hash for the only one."""
-    return F.when(F.size(entries) > 0, entries).otherwise(F.array(_entry(F.xxhash64(octets))))
+    return F.when(F.size(entries) > 0, entries).otherwise(F.array(_entry(F.xxhash64(octets), F.lit(0))))
 
 
-def joined(kept: Column, given: Column, seam: Column) -> Column:
-    """The entries of two parts put together; `seam` holds the bytes around the joint, less than a k-mer from either part."""
-    starts = F.when(F.octet_length(seam) >= K, F.sequence(F.lit(1), F.octet_length(seam) - (K - 1))).otherwise(F.array().cast("array<int>"))
-    across = F.transform(F.filter(starts, lambda i: is_anchor(seam, i)), lambda i: _entry(_hash(seam, i)))
-    # Sorted by bin, then value: the first entry of each bin is its least.
-    return _let(F.sort_array(F.concat(kept, given, across)), lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.shiftright(x, 32) != F.shiftright(F.try_element_at(all_, i), 32))))
+def joined(kept: Column, given: Column, start: Column, seam: Column, seam_start: Column) -> Column:
+    """The entries of two parts put together, the second one beginning at byte `start`; `seam` holds the bytes around the joint from byte `seam_start` on, less than a k-mer from either part."""
+    at = F.when(F.octet_length(seam) >= K, F.sequence(F.lit(1), F.octet_length(seam) - (K - 1))).otherwise(F.array().cast("array<int>"))
+    across = F.transform(F.filter(at, lambda i: is_anchor(seam, i)), lambda i: _entry(_hash(seam, i), seam_start + i - 1))
+    # Sorted by bin, value and place: the first entry of each bin is its least.
+    every = F.sort_array(F.concat(kept, F.transform(given, lambda x: x + start), across))
+    return _let(every, lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.shiftright(x, BIN_AT) != F.shiftright(F.try_element_at(all_, i), BIN_AT))))
 
 
 def _bins(entries: Column) -> Column:
     """The bins that have an entry, as bits."""
-    return F.aggregate(entries, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 32).cast("int"))))
+    return F.aggregate(entries, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, BIN_AT).cast("int"))))
 
 
 def likeness(a: Column, a_bins: Column, b: Column, b_bins: Column) -> Column:
-    """The share of bins that agree among those that either has."""
-    return (F.size(F.array_intersect(a, b)) / F.bit_count(a_bins.bitwiseOR(b_bins))).cast("double")
+    """The share of bins matched in order among those that either has."""
+    pair = lambda x, other, names: F.shiftleft(_place(x), VALUE_AT).bitwiseOR(_place(F.try_element_at(other, F.array_position(names, F.shiftright(x, VALUE_AT)).cast("int"))))
+    names = F.transform(b, lambda y: F.shiftright(y, VALUE_AT))
+    # Places in either text of what both hold, in the order of the first one.
+    met = _let(names, lambda held: F.transform(F.filter(a, lambda x: F.array_contains(held, F.shiftright(x, VALUE_AT))), lambda x: pair(x, b, held)))
+    matched = _let(F.sort_array(met), lambda own: F.filter(own, lambda x, i: (i == 0) | (_place(x) > _place(F.try_element_at(own, i)))))
+    return (F.size(matched) / F.bit_count(a_bins.bitwiseOR(b_bins))).cast("double")
 
 
 def written(entries: Column) -> Column:
-    """The entries by bin, each as two hex digits of bin and eight of value."""
-    return F.lower(F.array_join(F.transform(F.sort_array(entries), lambda x: F.lpad(F.hex(x), 10, "0")), ""))
+    """The entries by bin, each as sixteen hex digits."""
+    return F.lower(F.array_join(F.transform(F.sort_array(entries), lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+NO_ID = "n"
+
+
+def _id_text(key: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("i"), key.cast("string")), F.lit(NO_ID))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,22 +143,22 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     the next document by id; the last is followed by the first. Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. Null texts count as
     empty; texts shorter than a k-mer or without anchors have the hash of the whole as their only
-    one; a null id comes last; rows of one id follow each other in the order of a hash of their
+    one, at place 0; a null id comes last; rows of one id follow each other in the order of a hash of their
     texts; equal rows are one document and each is returned; an empty table gives none. Other
     columns are not read.
     """
     rows = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tag", F.xxhash64("text"))
     lengths = rows.select("doc_id", "tag", F.char_length("text").alias("n")).distinct()
-    chain = durable(chained(lengths))
-    # Joined on a key that is never null. The texts cross the network here and only here: all that follows keeps to this partitioning.
-    keyed = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id_text"), "tag", "text")
-    links = chain.select(F.coalesce(F.col("own_id").cast("string"), F.lit("null")).alias("id_text"), F.col("own_tag").alias("tag"), "n", "prior")
+    chain = stored(chained(lengths))
+    # Joined on a key that is never null, and in which a null id is like no text. The texts cross the network here and only here: all that follows keeps to this partitioning.
+    keyed = rows.select(_id_text(F.col("doc_id")).alias("id_text"), "tag", "text")
+    links = chain.select(_id_text(F.col("own_id")).alias("id_text"), F.col("own_tag").alias("tag"), "n", "prior")
     texts = keyed.join(links.hint("merge"), ["id_text", "tag"])
     start = F.left(F.col("text"), F.col("n") - F.floor(F.col("n") / 4).cast("int"))
     head = F.left(F.col("text"), F.floor(F.col("prior.n") / 4).cast("int"))
     end = F.col("place") + K
     found = anchors(texts.select("id_text", "tag", "text", F.octet_length(start).alias("kept"), F.octet_length(head).alias("asked")), ["id_text", "tag", "kept", "asked"])
-    entry = _entry(F.col("hash"))
+    entry = _entry(F.col("hash"), F.col("place"))
     mins = found.groupBy("id_text", "tag", _bin(F.col("hash")).alias("bin")).agg(
         F.min(entry).alias("all"), F.min(F.when(end <= F.col("kept"), entry)).alias("kept"), F.min(F.when(end <= F.col("asked"), entry)).alias("head")
     )
@@ -145,14 +169,14 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     whole = _or_whole(F.col("packed")[0], F.col("text").cast("binary"))
     own = every.select("id_text", "tag", "n", "text", start.alias("start"), whole.alias("entries"), F.col("packed")[1].alias("kept"))
     given = every.select(
-        F.coalesce(F.col("prior.doc_id").cast("string"), F.lit("null")).alias("id_text"), F.col("prior.tag").alias("tag"), head.alias("head"), F.col("packed")[2].alias("given"), whole.alias("next_entries")
+        _id_text(F.col("prior.doc_id")).alias("id_text"), F.col("prior.tag").alias("tag"), head.alias("head"), F.col("packed")[2].alias("given"), whole.alias("next_entries")
     ).dropDuplicates(["id_text", "tag"])
     both = own.join(given.hint("merge"), ["id_text", "tag"])
     last = F.greatest(F.octet_length("start") - (K - 2), F.lit(1))
     seam = F.concat(F.substring(F.col("start").cast("binary"), last, F.lit(K - 1)), F.substring(F.col("head").cast("binary"), F.lit(1), F.lit(K - 1)))
     edited = F.concat("start", "head").cast("binary")
-    doc_id = F.when(F.col("id_text") != "null", F.col("id_text")).cast(df.schema[key].dataType).alias("doc_id")
-    done = both.select(doc_id, F.col("n").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "entries", "next_entries", _or_whole(joined(F.col("kept"), F.col("given"), seam), edited).alias("edited_entries"))
+    doc_id = F.when(F.col("id_text") != NO_ID, F.substr("id_text", F.lit(2))).cast(df.schema[key].dataType).alias("doc_id")
+    done = both.select(doc_id, F.col("n").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), "entries", "next_entries", _or_whole(joined(F.col("kept"), F.col("given"), F.octet_length("start"), seam, last - 1), edited).alias("edited_entries"))
     done = done.select("*", *[_bins(F.col(c)).alias(c.replace("entries", "bins")) for c in ("entries", "next_entries", "edited_entries")])
     return done.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("entries")).alias("fingerprint"), written(F.col("edited_entries")).alias("edited_fingerprint"),

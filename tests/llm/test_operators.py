@@ -573,6 +573,7 @@ def test_mix_comes_near_its_targets(spark):
 
 
 def slow_entries(t):
+    """bin -> (value, place)"""
     octets, out = t.encode(), {}
     signed = lambda b: (x := xxhash.xxh64_intdigest(b, 42)) - (1 << 64 if x >> 63 else 0)
     for i in range(len(octets) - 11):
@@ -580,16 +581,20 @@ def slow_entries(t):
         s = [signed(k[j : j + 8]) for j in range(5)]
         if min(s) in (s[0], s[-1]):
             x = signed(k)
-            out[x & 63] = min((x >> 32) & 0xFFFFFFFF, out.get(x & 63, 1 << 32))
+            out[x & 63] = min(((x >> 38) & 0x3FFFFFF, i), out.get(x & 63, (1 << 32, 0)))
     if not out:
         x = signed(octets)
-        out = {x & 63: (x >> 32) & 0xFFFFFFFF}
+        out = {x & 63: ((x >> 38) & 0x3FFFFFF, 0)}
     return out
 
 
+def slow_likeness(a, b):
+    met = sorted((a[k][1], b[k][1]) for k in a if k in b and a[k][0] == b[k][0])
+    return sum(k == 0 or y > met[k - 1][1] for k, (_, y) in enumerate(met)) / len(set(a) | set(b))
+
+
 def test_fingerprints(docs, none, spark, sf):
-    like = lambda a, b: sum(a.get(k, -1) == b.get(k, -2) for k in set(a) | set(b)) / len(set(a) | set(b))
-    write = lambda e: "".join(f"{k:02x}{e[k]:08x}" for k in sorted(e))
+    write = lambda e: "".join(f"{k << 57 | e[k][0] << 31 | e[k][1]:016x}" for k in sorted(e))
     unique = docs.filter("doc_id <> 2 OR doc_id IS NULL")
     for df in (unique, spark.read.parquet(f"{sf}/documents.parquet")):
         rows = sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=lambda r: (r[0] is None, r[0]))
@@ -599,13 +604,24 @@ def test_fingerprints(docs, none, spark, sf):
             cut = len(t) // 4
             edited = t[: len(t) - cut] + after[:cut]
             a, b, c = slow_entries(t), slow_entries(edited), slow_entries(after)
-            expected.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), write(a), write(b), round(like(a, b), 9), round(like(a, c), 9)))
+            expected.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), write(a), write(b), round(slow_likeness(a, b), 9), round(slow_likeness(a, c), 9)))
         assert bag((*tuple(r)[:5], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in syncmers.fingerprints(df).collect()) == bag(expected)
     repeated = [r for r in syncmers.fingerprints(docs).collect() if r["doc_id"] == 2]
     assert len(repeated) == 2 and repeated[0] == repeated[1]
     assert syncmers.fingerprints(none).count() == 0
 
 
+def test_anchors_are_matched_in_order(spark):
+    rng = random.Random(7)
+    parts = [" ".join(rng.choice(["red", "green", "blue", "grey", "teal"]) + str(rng.randrange(1000)) for _ in range(60)) for _ in range(6)]
+    whole, moved, shuffled = " ".join(parts), " ".join(parts[3:] + parts[:3]), " ".join(sorted(" ".join(parts).split(), key=lambda w: w[::-1]))
+    df = spark.createDataFrame([("null", whole), ("n", moved), (None, shuffled), ("z", whole)], "doc_id string, text string")
+    found = {r["doc_id"]: r for r in syncmers.fingerprints(df).collect()}
+    assert set(found) == {"null", "n", None, "z"} and found["null"]["fingerprint"] == found["z"]["fingerprint"]
+    assert 0.9 < found["n"]["near_next"] < 1  # "n" moved, then "null" whole
+    assert found["z"]["near_next"] < 0.6  # then the null id's words in another order
+
+
 def test_anchors_are_where_they_stand(spark):
     text = "".join(random.Random(6).choice("abcdefgh ") for _ in range(9000))
     df = spark.createDataFrame([(1, text), (2, "prefix--" + text)], "doc_id long, text string")
