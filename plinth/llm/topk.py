@@ -1,4 +1,9 @@
-"""Exact top-k search: tiled matrix products of query blocks and candidate shards, merged in a tree."""
+"""Exact top-k search: tiled matrix products of queries and candidate shards, merged in a tree.
+
+Candidates are dealt once into shards that a task can hold; queries are sent to every shard and
+stream past it. Neither side is broadcast or comes to the driver, and the table is read three times
+however many queries and shards there are.
+"""
 
 from __future__ import annotations
 
@@ -6,20 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import in_arrow, schema_of, table
 
-#: Bytes of one broadcast block of query vectors. More queries than fit in it are searched block by block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of the vectors of one shard, as doubles. A task holds its shard; queries go past it a tile at a time.
+SHARD_BYTES = 64 << 20
 #: Queries and candidates of one matrix product.
 TILE_QUERIES, TILE_ROWS = 512, 2048
 #: Top lists merged by one node of the tree.
 FAN_IN = 8
-#: Candidate shards for each core. It doesn't follow the data, so neither does the number of lists a query gets.
-SHARDS_A_CORE = 4
 _WHOLE = float(1 << 53)
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
@@ -43,7 +46,7 @@ class Best:
 
     def __init__(self, ids: np.ndarray, k: int):
         self.ids, self.k = ids, k
-        self.query, self.score, self.vec = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.query, self.score, self.vec = np.empty(0, np.int64), np.empty(0, np.int64), ids[:0]
         self.floor = np.full(len(ids), _LEAST, np.int64)  # a score below it can't be among the best
 
     def add(self, start: int, scores: np.ndarray, vec: np.ndarray) -> None:
@@ -66,13 +69,13 @@ class Best:
         self.query, self.score, self.vec = (np.concatenate([old[~held], new[keep]]) for old, new in ((self.query, query), (self.score, score), (self.vec, ids)))
 
 
-def _matrices(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) for each length of vector."""
+def _matrices(ids: pa.Array, vectors: pa.Array, scale: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, quantized matrix) for each length of vector."""
     lengths = np.asarray(vectors.value_lengths())
-    names = np.asarray(ids)
+    names = np.array(ids.to_pylist(), str) if pa.types.is_string(ids.type) else np.asarray(ids)
     for n in np.unique(lengths):
         own = np.flatnonzero(lengths == n)
-        yield names[own], np.asarray(vectors.take(pa.array(own)).flatten(), dtype=np.float64).reshape(len(own), int(n))
+        yield names[own], quantized(np.asarray(vectors.take(pa.array(own)).flatten()).reshape(len(own), int(n)), scale)
 
 
 def valid(vector: Column) -> Column:
@@ -82,48 +85,70 @@ def valid(vector: Column) -> Column:
 def top_k(df: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """The k best other rows of each row for which `queries` holds, by the inner product of floor(scale * x).
 
-    Returns query_id, rank (from 1), vec_id and score; ties go to the smaller id. Vectors that are
-    null or hold null or non-finite components, and rows without an id, take no part; vectors of
-    different lengths don't meet; a query has fewer rows where there are fewer candidates and none
-    where there is none. Rows with a query's own id are no candidates of it; rows that share an id
-    are candidates each, and as queries they count once, with their least vector. Scores beyond 64
-    bits are held at the limit.
+    Returns query_id, rank (from 1), vec_id and score; ties go to the smaller id. Ids are whole
+    numbers (longs in the result) or text. Vectors that are null or hold null or non-finite
+    components, and rows without an id, take no part; vectors of different lengths don't meet; a
+    query has fewer rows where there are fewer candidates and none where there is none; an empty
+    table gives none. Rows with a query's own id are no candidates of it; rows that share an id are
+    candidates each, and as queries they count once, with their least vector. Scores beyond 64 bits
+    are held at the limit. Other columns are not read.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector")).filter(F.col("vec_id").isNotNull() & valid(F.col("vector")))
-    asked = df.filter(queries).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector")).filter(F.col("vec_id").isNotNull() & valid(F.col("vector")))
-    asked = asked.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    found = asked.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
-    blocks = max(1, -(-found["n"] * 8 * max(1, found["width"] or 1) // BLOCK_BYTES))
-    cores = spark.sparkContext.defaultParallelism
-    shards = rows.coalesce(cores * SHARDS_A_CORE)
-    lists = None
-    for block in range(blocks):
-        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
-        sent = spark.sparkContext.broadcast([(ids, quantized(m, scale)) for part in own.to_batches() for ids, m in _matrices(part.column(0), part.column(1))])
-        part = in_arrow(shards, _search(sent, k, scale, schema_of(spark, _LISTS)), _LISTS)
-        lists = part if lists is None else lists.unionAll(part)
-    return merged(lists, k, cores * SHARDS_A_CORE)
-
-
-_LISTS = "query_id long, shard int, vec_id long, score long"
-
-
-def _search(sent, k: int, scale: float, schema: pa.Schema):
+    kind = "string" if df.schema[key].dataType == StringType() else "long"
+    own = [F.col(key).cast(kind).alias("vec_id"), F.col(vector).alias("vector")]
+    held = F.col("vec_id").isNotNull() & valid(F.col("vector"))
+    rows, asked = df.select(*own).filter(held), df.filter(queries).select(*own).filter(held)
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width")).first()
+    shards = max(spark.sparkContext.defaultParallelism, -(-found["n"] * 8 * max(1, found["width"] or 1) // SHARD_BYTES))
+    # By place and not by id: rows of one id may be any share of the table.
+    dealt = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "vector")
+    sent = asked.groupBy("vec_id").agg(F.min("vector").alias("vector")).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "vector")
+    met = dealt.unionByName(sent).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "asks")
+    schema = f"query_id {kind}, shard int, vec_id {kind}, score long"
+    return merged(in_arrow(met, _search(k, scale, schema_of(spark, schema)), schema), k, shards)
+
+
+def _tiles(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Parts put together by their width and cut into tiles."""
+    out = []
+    for width in {m.shape[1] for _, m in parts}:
+        own = [x for x in parts if x[1].shape[1] == width]
+        ids, whole = np.concatenate([i for i, _ in own]), np.concatenate([m for _, m in own])
+        out += [(ids[at : at + TILE_ROWS], whole[at : at + TILE_ROWS]) for at in range(0, len(ids), TILE_ROWS)]
+    return out
+
+
+def _search(k: int, scale: float, schema: pa.Schema):
+    """Over rows sorted by shard, candidates before queries: the top lists of the queries in each shard."""
+
+    def lists(shard: int, asked: pa.RecordBatch, tiles: list) -> Iterator[pa.RecordBatch]:
+        for at in range(0, asked.num_rows, TILE_QUERIES):
+            part = asked.slice(at, TILE_QUERIES)
+            for ids, queries in _matrices(part.column("vec_id"), part.column("vector"), scale):
+                best = Best(ids, k)
+                for vec, rows in tiles:
+                    if rows.shape[1] == queries.shape[1]:
+                        best.add(0, products(queries, rows), vec)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[best.query], schema.field(0).type), pa.array(np.full(len(best.query), shard, np.int32)), pa.array(best.vec, schema.field(2).type), pa.array(best.score)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [Best(ids, k) for ids, _ in sent.value]
+        now, parts, tiles = -1, [], []
         for batch in batches:
-            for at in range(0, batch.num_rows, TILE_ROWS):
-                tile = batch.slice(at, TILE_ROWS)
-                for vec, rows in _matrices(tile.column(0), tile.column(1)):
-                    rows = quantized(rows, scale)
-                    for own, (_, queries) in zip(best, sent.value, strict=True):
-                        if queries.shape[1] == rows.shape[1]:
-                            for start in range(0, len(queries), TILE_QUERIES):
-                                own.add(start, products(queries[start : start + TILE_QUERIES], rows), vec)
-        shard = TaskContext.get().partitionId()
-        for own in best:
-            yield pa.RecordBatch.from_arrays([pa.array(own.ids[own.query]), pa.array(np.full(len(own.query), shard, np.int32)), pa.array(own.vec), pa.array(own.score)], schema=schema)
+            if not batch.num_rows:
+                continue
+            runs = np.asarray(batch.column("shard")).astype(np.int64) * 2 + np.asarray(batch.column("asks").cast(pa.int8()))
+            edges = [0, *(np.flatnonzero(runs[1:] != runs[:-1]) + 1).tolist(), len(runs)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                shard, asks = divmod(int(runs[a]), 2)
+                if shard != now:
+                    now, parts, tiles = shard, [], []
+                own = batch.slice(a, b - a)
+                if not asks:
+                    parts += _matrices(own.column("vec_id"), own.column("vector"), scale)
+                    continue
+                if parts:
+                    tiles, parts = _tiles(parts), []
+                yield from lists(shard, own, tiles)
 
     return run
 
@@ -131,8 +156,7 @@ def _search(sent, k: int, scale: float, schema: pa.Schema):
 def merged(lists: DataFrame, k: int, shards: int) -> DataFrame:
     """Merge the shards' top lists, FAN_IN at a time, and number the last ones."""
     entry = F.struct((-1 - F.col("score")).alias("low"), F.col("vec_id").alias("vec_id"))
-    # Each block's shards have consecutive numbers, so that the remainders tell them apart.
-    tree = lists.groupBy("query_id", (F.col("shard") % shards).alias("shard")).agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("top"))
+    tree = lists.groupBy("query_id", "shard").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("top"))
     while shards > 1:
         shards = -(-shards // FAN_IN)
         tree = tree.groupBy("query_id", F.floor(F.col("shard") / FAN_IN).cast("int").alias("shard")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("top"))), 1, k).alias("top"))

@@ -463,8 +463,8 @@ def test_topk(spark, monkeypatch):
     for q, v in asked.items():
         scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in good if i != q and len(w) == len(v))
         expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])]
-    for block in (topk.BLOCK_BYTES, 80):
-        monkeypatch.setattr(topk, "BLOCK_BYTES", block)
+    for size in (topk.SHARD_BYTES, 700):  # shards as many as cores, then 20
+        monkeypatch.setattr(topk, "SHARD_BYTES", size)
         monkeypatch.setattr(topk, "TILE_ROWS", 37)
         assert bag(topk.top_k(df, F.col("vec_id") % 100 == 0).collect()) == bag(expected)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
@@ -482,6 +482,24 @@ def test_topk_passes_over_all_rows_of_a_querys_own_id(spark):
     assert bag(topk.top_k(df, F.col("vec_id") % 100 == 0).collect()) == bag(expected)
 
 
+def test_topk_of_text_ids_reads_the_table_as_often_for_many_shards(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(f"v{i}", [float(x) for x in rng.integers(-8, 9, 4) / 8]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    expected = []
+    for q, v in rows:
+        if q.endswith("7"):
+            scored = sorted((-int(sum(1024 * x * 1024 * y for x, y in zip(v, w, strict=True))), i) for i, w in rows if i != q)
+            expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])]
+    scans = []
+    for size in (topk.SHARD_BYTES, 200):
+        monkeypatch.setattr(topk, "SHARD_BYTES", size)
+        found = topk.top_k(df, F.col("vec_id").endswith("7"))
+        assert bag(found.collect()) == bag(expected)
+        scans.append(found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD"))
+    assert scans[0] == scans[1]
+
+
 # ---- 8
 
 
