@@ -24,6 +24,7 @@ class Database:
         self.plugins: dict[str, Any] = {}
         self.cache, self.profiler, self.advice = Cache(), Profiler(), Advice()
         self.constraints = ddl.Constraints()
+        self.held: list[DataFrame] = []
         self.relations: dict[str, dict[str, tuple]] = {}
 
     def frame(self, name: str) -> DataFrame:
@@ -39,6 +40,17 @@ class Database:
         for name, table in (self.tables | (more or {})).items():
             (table if isinstance(table, DataFrame) else self.spark.read.parquet(table)).createOrReplaceTempView(name)
 
+    def materialized(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.cache())
+        return self.held[-1]
+
+    def release(self) -> None:
+        """Give back what with_materialized() and cache() keep."""
+        for df in self.held:
+            df.unpersist()
+        self.held.clear()
+        self.cache.invalidate()
+
     def put(self, name: str, df: DataFrame) -> None:
         """A new version of a table."""
         self.tables[name] = df

@@ -187,7 +187,7 @@ class Query(Grammar):
         return self._with(ctes=(*self.state.ctes, (name, query, tuple(columns), False)))
 
     def with_materialized(self, name: str, query: Any, columns: Iterable[str] = ()) -> Query:
-        """As with_(), computed once and kept where memory or disk allows."""
+        """As with_(), computed once and kept where memory or disk allows, until Database.release()."""
         return self._with(ctes=(*self.state.ctes, (name, query, tuple(columns), True)))
 
     def with_recursive(self, name: str, sql: str, columns: Iterable[str] = (), most_levels: int = 100) -> Query:
@@ -243,7 +243,7 @@ class Query(Grammar):
                 frame = frame_of(query)
             if columns and not isinstance(query, tuple):
                 frame = frame.toDF(*columns)
-            tables[name] = frame.cache() if keep else frame
+            tables[name] = self.db.materialized(frame) if keep else frame
         return tables
 
     def get(self) -> DataFrame:

@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import ddl, dml, paginate, relations, services
 from ..sources import files
+from ..sources.shared import new_folder
 from .catalogue import register
 
 
-def _folder(db) -> str:
-    """A new folder all executors see, removed when the driver's JVM ends."""
-    spark = db.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    path = f"{base}/plinth-files-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
 def _frame(db, rows, schema: str):
     return db.spark.createDataFrame(rows, schema)
 
@@ -54,21 +38,21 @@ def _(db):
 
 @register("load_csv", _NATION_TEXT)
 def _(db):
-    path = _folder(db)
+    path = new_folder(db.spark)
     files.save_csv(db.frame("nation").select("n_nationkey", "n_name", "n_regionkey"), path)
     return files.load_csv(db.spark, path)
 
 
 @register("load_csv_fields", "SELECT n_nationkey::VARCHAR AS k, n_name AS name FROM nation")
 def _(db):
-    path = _folder(db)
+    path = new_folder(db.spark)
     files.save_csv(db.frame("nation").select("n_nationkey", "n_name", "n_regionkey"), path, ";")
     return files.load_csv(db.spark, path, ["k", "name"], ";", skip=1)
 
 
 @register("csv_multiline", "SELECT c_custkey::VARCHAR AS k, c_name || chr(10) || ' \"' || c_mktsegment || '\", ' || chr(10) || 'end' AS note FROM customer")
 def _(db):
-    path = _folder(db)
+    path = new_folder(db.spark)
     note = F.concat("c_name", F.lit('\n "'), "c_mktsegment", F.lit('", \nend'))
     db.frame("customer").select(F.col("c_custkey").alias("k"), note.alias("note")).write.options(header=True, escape='"').csv(path)
     return files.load_csv(db.spark, path)
@@ -76,21 +60,21 @@ def _(db):
 
 @register("load_xml", _NATION_TEXT)
 def _(db):
-    path = _folder(db)
+    path = new_folder(db.spark)
     files.save_xml(db.frame("nation").select("n_nationkey", "n_name", "n_regionkey"), path)
     return files.load_xml(db.spark, path, "item").select("n_nationkey", "n_name", "n_regionkey")
 
 
 @register("load_json_lines", _NATION_TEXT)
 def _(db):
-    path = _folder(db)
+    path = new_folder(db.spark)
     files.save_json(db.frame("nation").select("n_nationkey", "n_name", "n_regionkey"), path)
     return files.load_json(db.spark, path)
 
 
 @register("load_json_array", "SELECT r_regionkey::VARCHAR AS r_regionkey, r_name FROM region")
 def _(db):
-    path = _folder(db)
+    path = new_folder(db.spark)
     _frame(db, [(files.to_json([r.asDict() for r in db.find("region").select("r_regionkey", "r_name").rows()]),)], "value string").coalesce(1).write.text(path)
     return files.load_json(db.spark, path, ["r_regionkey", "r_name"], "auto")
 
@@ -107,7 +91,7 @@ def _(db):
 
 @register("dump_restore", "SELECT s_suppkey, s_name FROM supplier")
 def _(db):
-    path = _folder(db)
+    path = new_folder(db.spark)
     db.dump(path, ["supplier", "region"])
     db.restore(path, ["supplier"])
     return db.find("supplier").select("s_suppkey", "s_name")
