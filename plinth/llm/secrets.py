@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,6 @@ KINDS = ("assign", "access", "hex", "random")
 CHARS_A_TOKEN = 2.1
 #: Runs shorter than this carry too few tokens for a ratio.
 LEAST_RUN = 20
-#: Tokenized at a time, so that a run of megabytes costs in proportion to its length.
-PIECE = 256
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -49,7 +49,7 @@ def vocabulary(file: str):
 
 
 def _tokens(run: str, encoding) -> int:
-    return sum(len(encoding.encode_ordinary(run[i : i + PIECE])) for i in range(0, len(run), PIECE))
+    return len(encoding.encode_ordinary(run))
 
 
 def is_name(run: str, encoding, least_ratio: float = CHARS_A_TOKEN) -> bool:
@@ -79,9 +79,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def added_spans(text: str, base: list[tuple[int, int, str]], encoding) -> list[tuple[int, int, str]]:
     """Random runs outside all base spans."""
+    spans = sorted(base)
+    starts, reach = [a for a, _, _ in spans], [-1, *accumulate((b for _, b, _ in spans), max)]  # how far the first k spans reach
     out = []
     for m in RUN.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in base) and is_random(m.group(), encoding):
+        if reach[bisect_left(starts, m.end())] <= m.start() and is_random(m.group(), encoding):
             out.append((m.start(), m.end(), "random"))
     return out
 
@@ -145,7 +147,7 @@ def redact(df: DataFrame, text: str = "text", length: str | None = None, file: s
                     x[length][i] = len(x[text][i])
         return {c: x[c] for c in columns}
 
-    return map_columns(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    return map_columns(df, run, df.schema)
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

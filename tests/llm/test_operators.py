@@ -248,6 +248,41 @@ def test_secrets(docs, none, spark):
     assert secrets.scan(none).count() == secrets.redact(none).count() == 0
 
 
+def slow_random(t):
+    """Maximal runs of 20 and more of the characters of keys, outside all base spans, that the test calls random."""
+    base, encoding = slow_base(t), secrets.vocabulary(secrets._file(None))
+    out, at = [], 0
+    while at < len(t):
+        end = at
+        while end < len(t) and re.match(r"[A-Za-z0-9+/_=-]", t[end]):
+            end += 1
+        run = t[at:end]
+        if end - at >= 20 and not any(a < end and at < b for a, _, b in base) and len(run) < secrets.CHARS_A_TOKEN * len(encoding.encode_ordinary(run)) and not secrets.KNOWN.fullmatch(run) and not secrets.is_name(run, encoding):
+            out.append(f"random:{at}:{end}")
+        at = end + 1
+    return out
+
+
+def test_added_spans_are_all_random_runs(docs, spark):
+    rng = random.Random(21)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-") for _ in range(n))
+    texts = [" ".join(rng.choice([key(rng.randrange(10, 60)), "token=" + key(9), "f" * 30, "AKIA" + "Q" * 18, "some plain words", "é" + key(25) + "é", key(400)]) for _ in range(30)) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df).collect():
+        assert [x for x in r["spans"].split(",") if x.startswith("random:")] == slow_random(texts[r["doc_id"]])
+
+
+def test_a_long_text_of_many_spans_takes_time_in_proportion():
+    import time
+
+    encoding = secrets.vocabulary(secrets._file(None))
+    text = "token=abcdefgh and qX7fP2kLm9Rt4VzW8sYb, words between them. " * 50_000
+    start = time.process_time()
+    base = secrets.base_spans(text)
+    assert len(base) == 50_000 and len(secrets.added_spans(text, base, encoding)) == 50_000
+    assert time.process_time() - start < 30
+
+
 @pytest.mark.parametrize("run, bad", [("9f86d081884c7d659a2feaa0c55ad015", False), ("550e8400-e29b-41d4-a716-446655440000", False), ("user_account_identifier_v2", False), ("getUserAccountByIdentifier", False), ("1234567890123456789012", False), ("qX7fP2kLm9Rt4VzW8sYb", True), ("zQ3+9/aB7xK2mN8pR4tV6wY1", True)])
 def test_random_runs(run, bad):
     assert secrets.is_random(run, secrets.vocabulary(secrets._file(None))) == bad
