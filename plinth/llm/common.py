@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.shared import new_folder, remove
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space as the contracts define it.
@@ -31,20 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, else the one set on its context."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not given:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return given
-
-
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as Parquet under the shared folder and read again: computed once, with no lineage to go back through, and what was shuffled for it can go. forget() removes it; what is left goes when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/plinth-{uuid.uuid4().hex}"
-    where, system = _file_system(spark, path)
-    system.deleteOnExit(where)
+    path = new_folder(spark)
     before = spark.conf.get(CLEAN_UP)
     spark.conf.set(CLEAN_UP, "true")
     try:
@@ -59,13 +50,7 @@ def stored(df: DataFrame) -> DataFrame:
 def forget(*frames: DataFrame) -> None:
     """Remove what stored() wrote for frames that nothing will read any more."""
     for df in frames:
-        where, system = _file_system(df.sparkSession, df.stored_at)
-        system.delete(where, True)
-
-
-def _file_system(spark: SparkSession, path: str) -> tuple:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        remove(df.sparkSession, df.stored_at)
 
 
 def meet(rows: DataFrame, values: DataFrame, on: list[str], n: str = "n") -> DataFrame:
@@ -73,16 +58,15 @@ def meet(rows: DataFrame, values: DataFrame, on: list[str], n: str = "n") -> Dat
 
     A key of more than a HOT-th of all rows is hot; so there are fewer than HOT, and they go to every
     task, however many rows wait for them. All other rows are shuffled by key. Both frames are read
-    more than once and should be stored; keys are not null.
+    more than once and should be stored; keys are not null, and no other column is in both.
     """
     total = values.agg(F.sum(n).alias("n")).first()["n"] or 0
-    hot = F.broadcast(values.filter(F.col(n) * HOT > total))
-    given = rows.select(*on, F.struct("*").alias("row"))
-    marked = given.join(hot.withColumn("hot", F.lit(True)), on, "left")
-    more = [c for c in values.columns if c not in on]
-    warm = marked.filter("hot").select("row", *more)
-    cold = marked.filter("hot IS NULL").select(*on, "row").join(values, on).select("row", *more)
-    return warm.unionAll(cold).select("row.*", *more)
+    more = [c for c in values.columns if c not in (*on, n)]
+    hot = values.filter(F.col(n) * HOT > total).select(*on, *[F.col(c).alias(f"hot_{c}") for c in more], F.lit(True).alias("is_hot"))
+    marked = rows.join(F.broadcast(hot), on, "left")
+    warm = marked.filter("is_hot").select(*rows.columns, *[F.col(f"hot_{c}").alias(c) for c in more])
+    cold = marked.filter("is_hot IS NULL").select(*rows.columns).join(values, on).select(*rows.columns, *more)
+    return warm.unionAll(cold)
 
 
 def held_out(doc_id: Column) -> Column:

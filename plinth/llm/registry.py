@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-from importlib import import_module
-
-#: module -> (query, SQL constant or None)
-MODULES = {
-    "toxicity": ("op5_toxicity", None),
-    "langid": ("op1_language_id", None),
-    "syncmers": ("op10_fingerprints", None),
-    "substrings": ("op8_substring_dedup", "OP8_SQL"),
-    "simhash": ("op2_simhash_near_dedup", None),
-    "topk": ("op7_exact_topk", "OP7_SQL"),
-    "secrets": ("op3_secret_scans", None),
-    "bpe": ("op4_bpe", None),
-    "sharding": ("op6_sharding", "OP6_SQL"),
-    "mixing": ("op9_mixing", "OP9_SQL"),
-}
+import corpus_pipeline
 
+from . import bpe, langid, mixing, secrets, sharding, simhash, substrings, syncmers, topk, toxicity
+
+QUERIES = (
+    toxicity.op5_toxicity, langid.op1_language_id, syncmers.op10_fingerprints, substrings.op8_substring_dedup, simhash.op2_simhash_near_dedup, topk.op7_exact_topk,
+    secrets.op3_secret_scans, bpe.op4_bpe, sharding.op6_sharding, mixing.op9_mixing,
+)
+SQL = {"op6_sharding": sharding.OP6_SQL, "op7_exact_topk": topk.OP7_SQL, "op8_substring_dedup": substrings.OP8_SQL, "op9_mixing": mixing.OP9_SQL}
 
-def queries() -> dict:
-    import corpus_pipeline
 
-    return {query: getattr(import_module(f"{__package__}.{module}"), query) for module, (query, _) in MODULES.items()} | {"pipeline": corpus_pipeline.run}
+def queries() -> dict:
+    return {query.__name__: query for query in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {query: getattr(import_module(f"{__package__}.{module}"), sql) for module, (query, sql) in MODULES.items() if sql}
+    return dict(SQL)

@@ -72,8 +72,8 @@ def shard(df: DataFrame, tree: Tree, key: str = "doc_id", text: str = "text", gr
     """Place every row and number the rows of each shard.
 
     Returns doc_id, size, text_crc32, law, shard, slot and grown_shard, whatever else `df` has. Null
-    texts have size 1 and the CRC of no bytes; null keys are placed as one key; rows with the same
-    key share a shard and get slots of their own; an empty table gives none. Slots run from 0
+    texts have size 1 and the CRC of no bytes; null keys are placed as one key; rows of equal texts
+    are placed by their keys, so different ones may part; rows with the same key share a shard and get slots of their own; an empty table gives none. Slots run from 0
     without gaps in each shard: each group of keys numbers its own rows, and the groups' counts are
     added up, so that no task sorts a whole shard.
     """
