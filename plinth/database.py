@@ -8,12 +8,13 @@ from typing import Any
 from pyspark.sql import DataFrame, Row, SparkSession
 
 from .operators import ddl, dml
+from .operators.lifecycle import Events, Migrations, Record, Transactions
 from .operators.query import Query
 from .operators.services import Advice, Cache, Profiler
 from .sources import files
 
 
-class Database:
+class Database(Transactions):
     """Tables by name: DataFrames, paths of Parquet, or what the session's catalog has. Opening one runs nothing."""
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | str] | None = None, folder: str | None = None, prefix: str = ""):
@@ -22,7 +23,8 @@ class Database:
         self.scopes: dict[str, Callable[[Query], Query]] = {}
         self.named_scopes: dict[str, Callable[..., Query]] = {}
         self.plugins: dict[str, Any] = {}
-        self.cache, self.profiler, self.advice = Cache(), Profiler(), Advice()
+        self.cache, self.profiler, self.advice, self.events = Cache(), Profiler(), Advice(), Events()
+        self.migrations = Migrations(self)
         self.constraints = ddl.Constraints()
         self.held: list[DataFrame] = []
         self.relations: dict[str, dict[str, tuple]] = {}
@@ -125,6 +127,15 @@ class Database:
 
     fetch_column = raw_query_value
 
+    # ---- rows as objects
+
+    def record(self, table: str, values: dict[str, Any], key: str = "id") -> Record:
+        """A new row, written by its save()."""
+        return Record(self, table, values, key)
+
+    def find_record(self, table: str, value: Any, key: str = "id") -> Record | None:
+        return Record.find(self, table, value, key)
+
     # ---- relations
 
     def relate(self, table: str, name: str, kind: str, other: str, **given: Any) -> None:

@@ -109,10 +109,14 @@ class Constraints:
     def create_fulltext_index(self, name: str, table: str, columns: Sequence[str]) -> None:
         self._add(table, Constraint("fulltext", name, tuple(columns)))
 
+    def create_spatial_index(self, name: str, table: str, columns: Sequence[str]) -> None:
+        """Columns by which rows that lie close should be written close."""
+        self._add(table, Constraint("spatial", name, tuple(columns)))
+
     def layout(self, table: str) -> dict[str, list[str]]:
         """What the indexes ask of the table's files: columns to sort by, those of the first index first, and columns for Bloom filters (unique keys)."""
         found = self.listed(table)
-        sort = list(dict.fromkeys(k for c in found if c.kind in ("primary", "index") for k in c.columns))
+        sort = list(dict.fromkeys(k for c in found if c.kind in ("primary", "index", "spatial") for k in c.columns))
         return {"sort_by": sort, "bloom": list(dict.fromkeys(k for c in found if c.kind in ("primary", "unique") for k in c.columns))}
 
     def drop(self, name: str, table: str) -> None:

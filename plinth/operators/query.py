@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from types import SimpleNamespace
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame, Row
@@ -45,6 +46,7 @@ class State:
     cached: tuple | None = None
     duplicates: tuple | None = None
     related: tuple = ()
+    objects: bool = False
     scopes_off: Any = ()
 
 
@@ -253,6 +255,7 @@ class Query(Grammar):
                 if name not in self.state.scopes_off:
                     query = scope(query)
         frame = query._plan({})
+        self.db.events.emit("query", query=self, frame=frame)
         if self.state.related:
             frame = relations.loaded(self.db, self.state.prefix + self.state.source.split()[0], frame, self.state.related)
         return frame if self.state.cached is None else self.db.cache.keep(frame, self.state.cached[0], self.state.cached[1], self.table_names())
@@ -342,8 +345,15 @@ class Query(Grammar):
 
     # ---- results
 
+    def as_object(self) -> Query:
+        """rows() then gives plain objects with the columns as attributes."""
+        return self._with(objects=True)
+
     def rows(self) -> list[Row] | dict[Any, Row]:
         found = self.get().collect()
+        if self.state.objects:
+            found = [SimpleNamespace(**r.asDict()) for r in found]
+            return found if self.state.index is None else {k: r for r in found if (k := getattr(r, self.state.index)) is not None}
         return found if self.state.index is None else {r[self.state.index]: r for r in found if r[self.state.index] is not None}
 
     def get_one(self) -> Row | None:
@@ -422,6 +432,7 @@ class Query(Grammar):
         new = change(self.db.frame(name))
         self.db.put(name, new)
         self.db.cache.invalidate_tables(name)
+        self.db.events.emit("change", table=name, frame=new)
         return new
 
     def on_duplicate(self, sets: dict[str, Any] | Iterable[str], keys: Any = "id") -> Query:

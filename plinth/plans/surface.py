@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import ddl, dml, paginate, relations, services
+from ..operators import ddl, dml, lifecycle, paginate, relations, services
 from ..sources import files
 from ..sources.shared import new_folder
 from .catalogue import register
@@ -429,6 +429,82 @@ def _(db):
     return _frame(db, [(found,)], "value string")
 
 
+@register("as_object", "SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_regionkey = 1")
+def _(db):
+    return _frame(db, [(r.n_nationkey, r.n_name) for r in db.find("nation").where("n_regionkey", 1).as_object().rows()], "k int, name string")
+
+
+@register("transaction", "SELECT s_suppkey, CASE WHEN s_nationkey = 1 THEN 'kept' WHEN s_nationkey = 2 THEN 'point' ELSE s_name END AS s_name FROM supplier")
+def _(db):
+    with db.transaction():
+        db.find("supplier").where("s_nationkey", 1).update({"s_name": "kept"})
+        try:
+            with db.transaction():
+                db.find("supplier").update({"s_name": "lost"})
+                raise KeyError
+        except KeyError:
+            pass
+        db.find("supplier").where("s_nationkey", 2).update({"s_name": "point"})
+        db.savepoint("a")
+        db.find("supplier").update({"s_name": "lost"})
+        db.rollback_to("a")
+        db.release_savepoint("a")
+    return db.find("supplier").select("s_suppkey", "s_name")
+
+
+@register("migrations", "SELECT * FROM (VALUES ('a1', 1, true), ('a2', 1, true), ('b1', NULL, false)) t(name, batch, kept)")
+def _(db):
+    steps = db.migrations
+    steps.add("a2", lambda d: d.add_column("held", "v", "integer"), lambda d: d.drop_column("held", "v"))
+    steps.add("a1", lambda d: d.create_table("held", {"id": "integer"}), lambda d: d.drop_table("held"))
+    steps.migrate()
+    steps.add("b1", lambda d: d.add_column("held", "w", "integer"), lambda d: d.drop_column("held", "w"))
+    steps.migrate()
+    steps.down()
+    done = dict(steps.history())
+    return _frame(db, [(n, done.get(n), n in done) for n in ("a1", "a2", "b1")], "name string, batch int, kept boolean")
+
+
+@register("events", "SELECT * FROM (VALUES ('begin', 1), ('change', 2), ('commit', 1), ('query', 3)) t(event, n)")
+def _(db):
+    seen = []
+    for event in ("begin", "change", "commit", "query", "rollback"):
+        db.events.listen(event, lambda event=event, **_: seen.append(event))
+    with db.transaction():
+        db.find("region").delete()
+        db.find("nation").where("n_nationkey", 1).update({"n_name": "x"})
+    for _ in range(3):
+        db.find("nation").get()
+    return _frame(db, [(e, seen.count(e)) for e in sorted(set(seen))], "event string, n int")
+
+
+@register("retry", "SELECT 3 AS tries, (SELECT count(*) FROM nation) AS n")
+def _(db):
+    tries = []
+
+    def action():
+        tries.append(1)
+        if len(tries) < 3:
+            raise ConnectionError
+        return db.find("nation").count()
+
+    n = lifecycle.retry(action, attempts=5, wait=0.0, on=(ConnectionError,))
+    return _frame(db, [(len(tries), n)], "tries int, n long")
+
+
+@register("record_changes", "SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 'THREE' ELSE n_name END AS n_name FROM nation WHERE n_nationkey <> 4 UNION ALL SELECT 99, 'NEW'")
+def _(db):
+    db.put("held", db.frame("nation").select("n_nationkey", "n_name"))
+    row = db.find_record("held", 3, "n_nationkey")
+    row.n_name = "THREE"
+    if row.dirty() != {"n_name": "THREE"} or row.save({"n_name": lambda x: x == ""}) or not row.save():
+        raise ValueError("a rule that does not hold must keep a row from being written")
+    db.find_record("held", 4, "n_nationkey").delete()
+    db.record("held", {"n_nationkey": 99, "n_name": "NEW"}, "n_nationkey").save()
+    row.refresh()
+    return db.find("held")
+
+
 @register("shard_route", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 37")
 def _(db):
     orders = db.frame("orders").select("o_orderkey", "o_custkey")
