@@ -477,10 +477,10 @@ class Query(Grammar):
         return self.db.advice.plan(self.get(), mode)
 
     def explain_analyze(self) -> str:
-        """The plan after it has run, as adaptive execution has left it."""
+        """The plan after it has run, as adaptive execution has left it, and what its nodes have counted."""
         frame = self.get()
-        frame.write.format("noop").mode("overwrite").save()
-        return self.db.advice.plan(frame, "cost")
+        counted = self.db.advice.measured(frame)
+        return self.db.advice.plan(frame, "formatted") + "\n" + "\n".join(f"{node}: {metric} {value}" for node, metric, value in counted if value > 0)
 
     def explain_advice(self) -> list:
         return self.db.advice.advise(self.get())

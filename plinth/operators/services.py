@@ -95,6 +95,28 @@ class Advice:
             df.explain(mode)
         return out.getvalue()
 
+    def measured(self, df: DataFrame) -> list[tuple[str, str, int]]:
+        """(node, metric, value) of each node of the plan after it has run; its rows stay on the executors."""
+        run = df._jdf.queryExecution()
+        run.toRdd().count()
+        found, waiting = [], [run.executedPlan()]
+        while waiting:
+            node = waiting.pop()
+            name = node.nodeName()
+            if name == "AdaptiveSparkPlan":
+                waiting.append(node.executedPlan())
+                continue
+            metrics = node.metrics().iterator()
+            while metrics.hasNext():
+                one = metrics.next()
+                found.append((name, one._1(), one._2().value()))
+            if "QueryStage" in name:
+                waiting.append(node.plan())
+            children = node.children().iterator()
+            while children.hasNext():
+                waiting.append(children.next())
+        return found
+
     def advise(self, df: DataFrame) -> list[Finding]:
         text = self.plan(df, "simple")
         found = []

@@ -409,7 +409,14 @@ def _(db):
 def _(db):
     q = db.find("orders").select("o_orderkey").where("o_totalprice", 1000, ">")
     advice = [x.kind for x in db.find("orders").select("o_orderkey").explain_advice()]
-    return _frame(db, [("PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in q.explain(), "Scan parquet" in q.explain_analyze() or "FileScan" in q.explain_analyze(), advice[0])], "filtered boolean, ran boolean, advice string")
+    return _frame(db, [("PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in q.explain(), "Scan parquet" in q.explain_analyze(), advice[0])], "filtered boolean, ran boolean, advice string")
+
+
+@register("explain_metrics", "SELECT count(*) AS passed, (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 1000)) AS groups FROM orders WHERE o_totalprice > 1000")
+def _(db):
+    q = db.find("orders").select("o_custkey").where("o_totalprice", 1000, ">").distinct()
+    rows = [(node, v) for node, metric, v in db.advice.measured(q.get()) if metric == "numOutputRows"]
+    return _frame(db, [(max(v for node, v in rows if node == "Filter"), min(v for node, v in rows if node == "HashAggregate"))], "passed long, groups long")
 
 
 @register("profiler_counts", "SELECT 'count' AS name, 3 AS runs")
