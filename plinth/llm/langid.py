@@ -26,14 +26,16 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-#: Labelled rows learned from, for each language, at most about this many, picked by a hash of their id.
+#: Labelled rows learned from, for each language, at most about this many (never more than twice as many on average), picked by a hash of id and text. Their texts are learned from whole.
 SAMPLE = 1000
-#: Excerpts of a sampled text and characters of each: one from its start, the others from places drawn by hash.
-EXCERPTS, EXCERPT = 3, 160
-EPOCHS, BATCH, RATE = 6, 64, 0.01
+#: Languages learned, the most frequent ones: the network has an output for each.
+LANGUAGES = 512
+#: Of so many windows one is also learned from as a piece of a few bytes, since texts can be short.
+SHORT_EVERY = 4
+EPOCHS, BATCH, RATE = 2, 64, 0.01
 #: A filter keeps texts whose best language has this share or more.
 LEAST_SCORE = 0.35
-#: It also asks for this part of the share of known letter trigrams that all but a hundredth of the learned excerpts have: a softmax over the learned languages can't tell that a text is in none of them.
+#: It also asks for this part of the share of known letter trigrams that all but a hundredth of the learned texts have: a softmax over the learned languages can't tell that a text is in none of them.
 LEAST_KNOWN = 0.7
 #: Runs that say nothing of a language: keys, digests, addresses.
 NO_WORD = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
@@ -174,35 +176,41 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], trigram
     return Network(languages, params[0], [[next(found) for _ in range(width)] for width in WIDTHS], *params[-3:], trigrams, least_known)
 
 
-def excerpts(df: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """(lang, excerpt) of a sample of the labelled rows that may be learned from, about SAMPLE rows a language."""
-    rows = df.filter(F.col(text).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(label).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+def samples(df: DataFrame, key: str, text: str, label: str) -> list[tuple[str, str]]:
+    """(lang, text) of a sample of the labelled rows that may be learned from, about SAMPLE rows a language, in a fixed order."""
+    own = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(label).alias("lang"))
+    rows = own.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
-        return df.sparkSession.createDataFrame([], "lang string, excerpt string")
-    draw = lambda *salt: F.pmod(F.xxhash64(F.col(key), *map(F.lit, salt)), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(SAMPLE / n))])[F.col(label)]
-    picked = rows.filter(draw("pick") < rate)
-    length = F.greatest(F.char_length(text) - EXCERPT, F.lit(0))
-    places = [F.lit(1), *[(F.floor(draw("place", i) * (length + 1)) + 1).cast("int") for i in range(EXCERPTS - 1)]]
-    return picked.select(F.col(label).alias("lang"), F.explode(F.array_distinct(F.array(*[F.substring(F.col(text), p, F.lit(EXCERPT)) for p in places]))).alias("excerpt"))
+        return []
+    rate = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(SAMPLE / n))])[F.col("lang")]
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("pick")), F.lit(1 << 30)) / float(1 << 30)
+    # Rows that are equal in id and text share a draw: the limit holds however many there are.
+    picked = rows.withColumn("draw", draw / rate).filter("draw < 1").orderBy("draw").limit(2 * SAMPLE * len(counts))
+    return sorted((r["lang"], r["text"]) for r in picked.select("lang", "text").collect() if r["text"] and not r["text"].isspace())
 
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> Network | None:
-    """A network for the languages that `label` names among rows that aren't held out; None where there are none."""
-    rows = sorted((r["lang"], r["excerpt"]) for r in excerpts(df, key, text, label).collect() if r["excerpt"] and not r["excerpt"].isspace())
+    """A network for the languages that `label` names among rows that aren't held out; None where there are none.
+
+    All windows of the sampled texts are learned from. Rows whose text or label is null are passed
+    over; a repeated row counts as often as it is drawn; other columns are not read.
+    """
+    rows = samples(df, key, text, label)
     languages = [lang for lang, _ in groupby(r[0] for r in rows)]
     if not languages:
         return None
-    # Each excerpt is learned from in full and, since texts can be short, as a piece of a few characters.
+    parts = [windows_of(x) for _, x in rows]
+    whole = np.concatenate(parts)
+    labels = np.repeat([languages.index(lang) for lang, _ in rows], [len(p) for p in parts])
     rng = np.random.default_rng(11)
-    pieces = []
-    for _, x in rows:
-        n = int(rng.integers(4, 48))
-        at = int(rng.integers(0, max(1, len(x) - n)))
-        pieces.append(x[at : at + n])
-    labels = np.array([languages.index(lang) for lang, _ in rows])
-    return train(np.concatenate([windows_of(x)[:1] for x in [*(x for _, x in rows), *pieces]]), np.concatenate([labels, labels]), languages, *learned_trigrams([x for _, x in rows]))
+    some = rng.permutation(len(whole))[::SHORT_EVERY]
+    short, sizes = np.zeros((len(some), WINDOW), np.uint8), rng.integers(4, 48, len(some))
+    for k, (i, n) in enumerate(zip(some.tolist(), sizes.tolist(), strict=True)):
+        own = whole[i][: max(1, int(np.count_nonzero(whole[i])))]
+        at = int(rng.integers(0, max(1, len(own) - n)))
+        short[k, : len(own[at : at + n])] = own[at : at + n]
+    return train(np.concatenate([whole, short]), np.concatenate([labels, labels[some]]), languages, *learned_trigrams([x for _, x in rows]))
 
 
 def predict(df: DataFrame, network: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -77,6 +77,44 @@ def test_language_tables_are_the_network(sf, spark):
     assert np.allclose(net.logits(window, net.tables())[0], slow, atol=1e-3)
 
 
+def slow_classify(net, text):
+    """The network over each window with plain loops, the logits weighted by bytes."""
+    octets = text.encode("utf-8", "surrogatepass").lower()
+    total, held = np.zeros(len(net.languages)), 0
+    for at in range(0, max(1, len(octets)), langid.WINDOW):
+        own = octets[at : at + langid.WINDOW]
+        x = [*own, *[0] * (langid.WINDOW - len(own))]
+        best = [np.max([sum(net.embedding[x[p + i]] @ parts[i] for i in range(width)) for p in range(langid.WINDOW - max(langid.WIDTHS) + 1)], axis=0) for width, parts in zip(langid.WIDTHS, net.filters, strict=True)]
+        total += len(own) * (np.maximum(np.concatenate(best) + net.bias, 0) @ net.weights + net.offset)
+        held += len(own)
+    p = np.exp(total / held - (total / held).max())
+    return net.languages[p.argmax()], p.max() / p.sum()
+
+
+def test_language_of_whole_texts_is_the_mean_of_all_windows(sf, spark):
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    net = langid.fit(real)
+    texts = [r["text"] for r in real.orderBy("doc_id").limit(4).collect()] + ["x", "Ünïcode " * 50, "1234 567", "12 a", None, ""]
+    langs, scores = langid.classify([t if t is None else t[:900] for t in texts], net)
+    for t, lang, score in zip(texts, langs, scores, strict=True):
+        if not t or t == "1234 567":
+            assert (lang, score) == ("und", 0)
+        else:
+            slow = slow_classify(net, t[:900])
+            assert lang == slow[0] and abs(score - slow[1]) < 1e-4
+
+
+def test_language_learns_from_whole_texts_and_never_from_rows_held_out(sf, spark):
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    held = langid.held_out(F.col("doc_id"))
+    other = real.withColumn("text", F.when(held, F.lit("zzz")).otherwise(F.col("text"))).withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang")))
+    a, b = langid.fit(real), langid.fit(other)
+    assert a.languages == b.languages and all(np.array_equal(x, y) for x, y in ((a.embedding, b.embedding), (a.weights, b.weights), (a.trigrams, b.trigrams))) and a.least_known == b.least_known
+    long = spark.createDataFrame([(1, "the words of a text " * 400 + "qqzzqq", "en"), (3, "les mots d'un texte " * 400, "fr")], "doc_id long, text string, lang string")
+    net = langid.fit(long)
+    assert int.from_bytes(b"zqq", "big") in net.trigrams
+
+
 def test_texts_in_no_learned_language_go(sf, spark):
     real = spark.read.parquet(f"{sf}/documents.parquet")
     foreign = ["Все люди рождаются свободными", "人人生而自由在尊严和权利上一律平等", "كل الناس يولدون أحرارا", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι", "xkqj wzpbt rmhgf qzxv wkjq", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności", "мир " * 50_000]
