@@ -28,9 +28,13 @@ WORD_ROWS, GRAM_ROWS, WIDTH = 1 << 14, 1 << 15, 8
 GRAMS = (3, 4, 5)
 #: Bytes of a word whose n-grams are made all at once; longer words take a slower way to the same result.
 SHORT = 24
-#: Labelled texts learned from, of each label at most about this many, picked by a hash of their id; and windows of each.
-SAMPLE, SAMPLE_WINDOWS = 1500, 12
-EPOCHS, BATCH, RATE, ROW_RATE = 8, 24, 0.01, 0.15
+#: Labelled texts learned from, of each label at most about this many, picked by a hash of their id. They are learned from whole.
+SAMPLE = 1500
+#: Words from one window to the next in learning, as in scoring: windows go through a text end to end and overlap.
+LEARNED_STRIDE = STRIDE
+#: Windows whose states are held at once in learning. A text with more is gone through twice.
+HELD_WINDOWS = 2048
+EPOCHS, BATCH, RATE, ROW_RATE = 5, 24, 0.01, 0.15
 THRESHOLD = 0.3
 #: Words whose input a worker keeps; beyond it the store starts anew.
 KEPT_WORDS = 150_000
@@ -49,9 +53,9 @@ def tokens_of(text: str | None) -> list[str]:
     return (text or "").split()
 
 
-def starts_of(n: int) -> list[int]:
-    """First words of the windows over n words: one every STRIDE, the last one ending with the text."""
-    return [*range(0, max(n - WINDOW, 0), STRIDE), max(n - WINDOW, 0)]
+def starts_of(n: int, stride: int = STRIDE) -> list[int]:
+    """First words of the windows over n words: one every `stride`, the last one ending with the text."""
+    return [*range(0, max(n - WINDOW, 0), stride), max(n - WINDOW, 0)]
 
 
 def gram_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,11 +197,25 @@ def start(seed: int = 5) -> Network:
     return Network(draw(WORD_ROWS, WIDTH, scale=0.1), draw(GRAM_ROWS, WIDTH, scale=0.1), draw(2 * WIDTH, 6 * HIDDEN, scale=0.3), np.zeros(6 * HIDDEN, np.float32), draw(2, HIDDEN, 3 * HIDDEN, scale=0.3), draw(2 * HIDDEN, scale=0.3), draw(2 * HIDDEN, scale=0.3), np.zeros(1, np.float32))
 
 
+def _grouped(order: list[int], counts: list[int]) -> Iterator[list[int]]:
+    """Texts in order, up to BATCH at a time and, unless one has more, up to HELD_WINDOWS windows."""
+    group, n = [], 0
+    for i in order:
+        if group and (len(group) == BATCH or n + counts[i] > HELD_WINDOWS):
+            yield group
+            group, n = [], 0
+        group.append(i)
+        n += counts[i]
+    if group:
+        yield group
+
+
 def train(texts: list[list[str]], labels: np.ndarray, share: float, seed: int = 5) -> Network:
-    """texts: the sampled windows of each text, words joined by spaces; share: of toxic texts among all."""
+    """texts: the windows of each text, words joined by spaces; share: of toxic texts among all."""
     rng = np.random.default_rng(seed)
     net = start(seed)
     windows = [[list(map(normal, w.split(" "))) if w else [] for w in text] for text in texts]
+    counts = list(map(len, windows))
     dense = [net.inputs, net.bias, net.states, net.attention, net.output, net.offset]
     first, second = ([np.zeros_like(p) for p in dense] for _ in range(2))
     seen_words, seen_grams = np.full(WORD_ROWS, 1e-4), np.full(GRAM_ROWS, 1e-4)
@@ -207,10 +225,9 @@ def train(texts: list[list[str]], labels: np.ndarray, share: float, seed: int =
     for epoch in range(EPOCHS + 1):  # the last one only scores
         learning = epoch < EPOCHS
         order = rng.permutation(len(texts)) if learning else np.arange(len(texts))
-        for at in range(0, len(order), BATCH):
-            own = order[at : at + BATCH]
+        for own in _grouped(order.tolist(), counts):
             rows = [w for i in own for w in windows[i]]
-            owner = np.repeat(np.arange(len(own)), [len(windows[i]) for i in own])
+            owner = np.repeat(np.arange(len(own)), [counts[i] for i in own])
             known = {w: k for k, w in enumerate(dict.fromkeys(w for row in rows for w in row))}
             names = list(known) or [""]
             ids = np.zeros((WINDOW, len(rows)), np.int64)
@@ -219,7 +236,10 @@ def train(texts: list[list[str]], labels: np.ndarray, share: float, seed: int =
                 ids[: len(row), k] = [known[w] for w in row]
                 mask[: len(row), k] = True
             embedded, given = net.embed(names)
-            z, kept = net.logits(ids, embedded @ net.inputs + net.bias, mask, learning)
+            projected = embedded @ net.inputs + net.bias
+            parts = [slice(at, at + HELD_WINDOWS) for at in range(0, len(rows), HELD_WINDOWS)]
+            passes = [net.logits(ids[:, p], projected, mask[:, p], learning and len(parts) == 1) for p in parts]
+            z = np.concatenate([x for x, _ in passes])
             top = np.full(len(own), -np.inf)
             np.maximum.at(top, owner, z)
             if not learning:
@@ -232,7 +252,12 @@ def train(texts: list[list[str]], labels: np.ndarray, share: float, seed: int =
             p = 1 / (1 + np.exp(-whole))
             slope = ((p - labels[own]) * balance[own] / len(own))[owner]
             d = (slope * part * (1 + z - whole[owner])).astype(np.float32)
-            dproj, grads = net.backward(d, ids, mask, kept, len(names))
+            dproj, grads = np.zeros_like(projected), None
+            for k, one in enumerate(parts):
+                kept = passes[0][1] if len(parts) == 1 else net.logits(ids[:, one], projected, mask[:, one], True)[1]
+                dtable, more = net.backward(d[one], ids[:, one], mask[:, one], kept, len(names))
+                dproj += dtable
+                grads = more if k == 0 else [a + b for a, b in zip(grads, more, strict=True)]
             dembedded = dproj @ net.inputs.T
             grads = [embedded.T @ dproj, dproj.sum(axis=0), *grads]
             step += 1
@@ -264,39 +289,32 @@ def calibrated(logits: np.ndarray, labels: np.ndarray, share: float) -> tuple[fl
     return float(theta[0] / spread), float(theta[1] - theta[0] * middle / spread)
 
 
-def sampled_windows(texts: DataFrame) -> DataFrame:
-    """(toxic, windows): up to SAMPLE_WINDOWS windows of each text of (doc_id, text, toxic), drawn by the id."""
-
-    def run(x: dict) -> dict:
-        out = []
-        for doc_id, text in zip(x["doc_id"], x["text"], strict=True):
-            words = tokens_of(text)
-            starts = starts_of(len(words))
-            if len(starts) > SAMPLE_WINDOWS:
-                starts = np.random.default_rng(zlib.crc32(str(doc_id).encode())).choice(starts, SAMPLE_WINDOWS, replace=False).tolist()
-            out.append([" ".join(words[a : a + WINDOW]) for a in sorted(starts)])
-        return {"doc_id": x["doc_id"], "toxic": x["toxic"], "windows": out}
-
-    return map_columns(texts, run, "doc_id long, toxic int, windows array<string>")
+def learned_windows(text: str) -> list[str]:
+    """A text's windows from end to end, words joined by spaces."""
+    words = tokens_of(text)
+    return [" ".join(words[a : a + WINDOW]) for a in starts_of(len(words), LEARNED_STRIDE)]
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Network | None:
     """A network for the 0/1 column `label` of `labels`, from rows that aren't held out; None where either value is missing.
 
-    Null labels and ids are passed over; of several labels of one id the greatest counts.
+    Null labels and ids are passed over; of several labels of one id the greatest counts, and of
+    several texts of one id the one of the least hash. All windows of the sampled texts are learned
+    from.
     """
-    given = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col(key).cast("long").alias("label_id")).agg(F.max(label).cast("int").alias("toxic"))
+    given = labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(key))).groupBy(F.col(key).cast("string").alias("label_id")).agg(F.max(label).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in given.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
     draw = F.pmod(F.xxhash64("label_id", F.lit("toxic")), F.lit(1 << 30)) / float(1 << 30)
     picked = given.filter(draw < F.when(F.col("toxic") == 1, SAMPLE / counts[1]).otherwise(SAMPLE / counts[0]))
-    # About 2 SAMPLE ids, whatever the size of the tables.
-    texts = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id")).filter(F.col("text").isNotNull()).select("doc_id", "text", "toxic")
-    rows = sorted((r["doc_id"], r["toxic"], list(r["windows"])) for r in sampled_windows(texts).collect())
+    # About 2 SAMPLE ids, whatever the size of the tables, and one text of each.
+    texts = df.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "toxic")).alias("one"))
+    rows = sorted((r["doc_id"], r["toxic"], r["text"]) for r in one.select("doc_id", "one.toxic", "one.text").collect())
     if len({r[1] for r in rows}) < 2:
         return None
-    return train([r[2] for r in rows], np.array([r[1] for r in rows]), counts[1] / (counts[0] + counts[1]))
+    return train([learned_windows(r[2]) for r in rows], np.array([r[1] for r in rows]), counts[1] / (counts[0] + counts[1]))
 
 
 class Scorer:

@@ -485,6 +485,60 @@ def test_toxicity_learns_and_scores_whole_texts(docs, none, spark):
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0} and toxicity.score(none, net).count() == 0
 
 
+def slow_score(net, text):
+    """Each window word by word with plain loops; the highest counts."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    words = list(map(toxicity.normal, text.split()))
+    n, h, best = len(words), toxicity.HIDDEN, -np.inf
+    for at in [*range(0, max(n - toxicity.WINDOW, 0), toxicity.STRIDE), max(n - toxicity.WINDOW, 0)]:
+        given = [net.project([w])[0] for w in words[at : at + toxicity.WINDOW]]
+        states = []
+        for way in range(2):
+            own, state = [], np.zeros(h)
+            for x in given[::-1] if way else given:
+                part, u = x[3 * h * way : 3 * h * (way + 1)], state @ net.states[way]
+                z, r = sigmoid(part[:h] + u[:h]), sigmoid(part[h : 2 * h] + u[h : 2 * h])
+                state = z * state + (1 - z) * np.tanh(part[2 * h :] + r * u[2 * h :])
+                own.append(state)
+            states.append(own[::-1] if way else own)
+        joint = np.array([np.concatenate(pair) for pair in zip(*states, strict=True)]).reshape(-1, 2 * h)
+        a = joint @ net.attention
+        weights = np.exp(a - a.max()) / np.exp(a - a.max()).sum() if len(a) else a
+        best = max(best, float(net.output @ (weights @ joint) + net.offset[0]))
+    return sigmoid(net.slope * best + net.shift)
+
+
+def test_toxicity_of_a_text_is_that_of_its_worst_window():
+    rng = random.Random(31)
+    net = toxicity.start()
+    net.offset = net.offset + np.float32(0.1)
+    words = ["River,", "stone", "(cloud)", "paper!", "window-pane", "GARDEN", "müsic", "x" * 40]
+    texts = [" ".join(rng.choice(words) + rng.choice("abc") for _ in range(n)) for n in (1, 5, 31, 32, 33, 47, 48, 49, 100, 333)]
+    for t, found in zip(texts, toxicity.Scorer(net).scores(texts), strict=True):
+        assert abs(found - slow_score(net, t)) < 1e-4
+
+
+def test_toxicity_learns_from_whole_texts_and_never_from_rows_held_out(spark, monkeypatch):
+    rng = random.Random(41)
+    rows = [(i, " ".join(rng.choice(["river", "stone", "cloud"]) + str(rng.randrange(9)) for _ in range(rng.randrange(1, 120))) + (" grumbo" if i % 3 == 0 else "")) for i in range(80)]
+    df, held = spark.createDataFrame(rows, "doc_id long, text string"), toxicity.held_out(F.col("doc_id"))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(80)], "doc_id long, toxic int")
+    a = toxicity.fit(df, labels)
+    b = toxicity.fit(df.withColumn("text", F.when(held, F.lit("snarkle")).otherwise(F.col("text"))), labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("words", "grams", "inputs", "states", "attention", "output")) and (a.slope, a.shift) == (b.slope, b.shift)
+    assert toxicity.fit(df.withColumn("doc_id", F.col("doc_id").cast("string")), labels.withColumn("doc_id", F.col("doc_id").cast("string"))).slope == a.slope
+    # A text of more windows than are held at once is learned from in several passes, to the same end.
+    texts = [toxicity.learned_windows(t) for _, t in rows]
+    assert all(" ".join(w).split()[-1] == t.split()[-1] for w, (_, t) in zip(texts, rows, strict=True))
+    marks = np.array([int(i % 3 == 0) for i in range(80)])
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "BATCH", 1)
+    whole = toxicity.train(texts, marks, 0.3)
+    monkeypatch.setattr(toxicity, "HELD_WINDOWS", 2)
+    parts = toxicity.train(texts, marks, 0.3)
+    assert np.allclose(whole.inputs, parts.inputs, atol=1e-3) and np.allclose(whole.output, parts.output, atol=1e-3)
+
+
 def test_windows_cover_and_overlap():
     for n in (0, 1, 31, 32, 33, 48, 49, 500):
         at = toxicity.starts_of(n)
