@@ -214,7 +214,9 @@ def train(texts: list[list[str]], labels: np.ndarray, share: float, seed: int =
     """texts: the windows of each text, words joined by spaces; share: of toxic texts among all."""
     rng = np.random.default_rng(seed)
     net = start(seed)
-    windows = [[list(map(normal, w.split(" "))) if w else [] for w in text] for text in texts]
+    met: dict[str, str] = {}  # one object for each word, however many windows hold it
+    shared = lambda w: met.get(w) or met.setdefault(w, normal(w))
+    windows = [[list(map(shared, w.split(" "))) if w else [] for w in text] for text in texts]
     counts = list(map(len, windows))
     dense = [net.inputs, net.bias, net.states, net.attention, net.output, net.offset]
     first, second = ([np.zeros_like(p) for p in dense] for _ in range(2))
