@@ -69,6 +69,17 @@ def meet(rows: DataFrame, values: DataFrame, on: list[str], n: str = "n") -> Dat
     return warm.unionAll(cold)
 
 
+def meet_in_one(rows: DataFrame, values: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """As meet(), in one pass over `rows`: hot ones, which have got their values by then, are dealt out evenly where the others are shuffled by key. `rows` should be stored: their order deals them."""
+    total = values.agg(F.sum(n).alias("n")).first()["n"] or 0
+    more = [c for c in values.columns if c not in (*on, n)]
+    hot = values.filter(F.col(n) * HOT > total).select(*on, *[F.col(c).alias(f"hot_{c}") for c in more], F.lit(True).alias("is_hot"))
+    cold = values.select(*on, *[F.col(c).alias(f"cold_{c}") for c in more], F.lit(0).cast("long").alias("salt"), F.lit(True).alias("is_cold"))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.when(F.col("is_hot"), F.monotonically_increasing_id() + 1).otherwise(0))
+    joined = salted.join(cold, [*on, "salt"], "left").filter("is_hot OR is_cold")
+    return joined.select(*rows.columns, *[F.coalesce(f"hot_{c}", f"cold_{c}").alias(c) for c in more])
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text leaves 2 when divided by 4. A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -1,7 +1,8 @@
 """Removal of passages that occur in earlier documents, behind a count-min prefilter.
 
 Windows of 13 words are too many to be grouped one by one. A first pass adds every window to a
-count-min sketch, one for each partition; the sketches are merged. A second pass looks every
+count-min sketch, one for each partition, which is sent as the cells it has met; those of all
+partitions are summed up by ranges of cells. A second pass looks every
 window up and groups, exactly and by 128-bit digest, only those that the sketch puts into two
 documents or more. The sketch only ever overestimates, so no repeated window is lost.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, in_arrow, map_columns, schema_of, slices, stored, table
+from .common import forget, in_arrow, map_columns, meet_in_one, schema_of, slices, stored, table
 
 WINDOW = 13
 GRAM = 5
@@ -32,7 +33,8 @@ DEPTH = 2
 #: Cells in each row of the sketch: at least four for each least gram of the corpus, a power of two, but never more than this. A fuller sketch lets more windows through to the exact grouping; it loses none.
 MOST_CELLS = 1 << 29
 LEAST_CELLS = 1 << 18
-CHUNK_BYTES = 1 << 19
+#: Cells whose counts of all partitions are summed up at once.
+CHUNK = 1 << 22
 #: Ids of copies are broadcast up to this many; more are met by a shuffle.
 BROADCAST_ROWS = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -125,23 +127,20 @@ def cells_of(grams: np.ndarray, row: int, cells: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) & np.uint64(cells - 1)
 
 
-class Sketch:
-    """Count-min rows of counters that stop at 2: bit in `once`: 1 or more; bit in `twice`: 2."""
-
-    def __init__(self, cells: int):
-        self.cells = cells
-        self.once, self.twice = (np.zeros((DEPTH, cells // 8), np.uint8) for _ in range(2))
-
-    def add(self, grams: np.ndarray) -> None:
-        for row in range(DEPTH):
-            cells, counts = np.unique(cells_of(grams, row, self.cells), return_counts=True)
-            places, bits = cells >> np.uint64(3), np.left_shift(1, (cells & np.uint64(7)).astype(np.uint8), dtype=np.uint8)
-            starts = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))[: len(places)]
-            if len(starts):
-                at = places[starts]
-                new, again = np.bitwise_or.reduceat(bits, starts), np.bitwise_or.reduceat(np.where(counts > 1, bits, 0).astype(np.uint8), starts)
-                self.twice[row, at] |= again | (self.once[row, at] & new)
-                self.once[row, at] |= new
+def added(held: dict[int, tuple[np.ndarray, np.ndarray]], grams: np.ndarray, cells: int) -> None:
+    """Add grams to a sketch kept as, for each chunk of cells that it has met, the cells and their counts up to 2."""
+    for row in range(DEPTH):
+        met, counts = np.unique(cells_of(grams, row, cells), return_counts=True)
+        met = met.astype(np.int64) + row * cells
+        counts = np.minimum(counts, 2).astype(np.uint8)
+        edges = [0, *(np.flatnonzero(np.diff(met // CHUNK)) + 1).tolist(), len(met)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a < b:
+                chunk, own, n = int(met[a] // CHUNK), (met[a:b] % CHUNK).astype(np.uint32), counts[a:b]
+                if chunk in held:
+                    own, back = np.unique(np.concatenate([held[chunk][0], own]), return_inverse=True)
+                    n = np.minimum(np.bincount(back, np.concatenate([held[chunk][1], n]), len(own)), 2).astype(np.uint8)
+                held[chunk] = own, n
 
 
 def twice(bitmaps: np.ndarray, grams: np.ndarray, cells: int) -> np.ndarray:
@@ -160,11 +159,12 @@ def split(text: str | None) -> list[bytes]:
 def merged_sketch(texts: DataFrame, cells: int) -> np.ndarray:
     """The bitmaps of cells that reach 2 in the sum of all partitions' sketches."""
     spark = texts.sparkSession
-    schema = "chunk int, once binary, twice binary"
+    schema = "chunk int, cells binary, counts binary"
     arrow = schema_of(spark, schema)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, waiting, n = Sketch(cells), [], 0
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        waiting, n = [], 0
         for part in slices(batches):
             own = laid_out(part.column(0).to_pylist())
             if not len(own.first):
@@ -177,27 +177,24 @@ def merged_sketch(texts: DataFrame, cells: int) -> np.ndarray:
             waiting.append(grams[np.concatenate([[True], (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])])])
             n += len(waiting[-1])
             if n > 1_000_000:
-                sketch.add(np.concatenate(waiting))
+                added(held, np.concatenate(waiting), cells)
                 waiting, n = [], 0
         if waiting:
-            sketch.add(np.concatenate(waiting))
-        once, more = sketch.once.reshape(-1), sketch.twice.reshape(-1)
-        for at in range(0, len(once), CHUNK_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array([at // CHUNK_BYTES], pa.int32()), pa.array([once[at : at + CHUNK_BYTES].tobytes()]), pa.array([more[at : at + CHUNK_BYTES].tobytes()])], schema=arrow)
+            added(held, np.concatenate(waiting), cells)
+        for chunk, (own, counts) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([own.tobytes()]), pa.array([counts.tobytes()])], schema=arrow)
 
     def merge(part: pa.Table) -> pa.Table:
-        once = more = None
-        for a, b in zip(part["once"], part["twice"], strict=True):
-            a, b = np.frombuffer(a.as_buffer(), np.uint8), np.frombuffer(b.as_buffer(), np.uint8)
-            once, more = (a, b) if once is None else (once | a, more | b | (once & a))
-        return pa.table([part["chunk"][:1], pa.array([b""]), pa.array([more.tobytes()])], schema=arrow)
-
-    # As many sketches as cores, however many partitions the texts have.
-    parts = in_arrow(texts.coalesce(spark.sparkContext.defaultParallelism), build, schema)
-    rows = parts.groupBy("chunk").applyInArrow(merge, schema).select("chunk", "twice").collect()
+        total = np.zeros(min(CHUNK, DEPTH * cells), np.uint8)
+        for own, counts in zip(part["cells"], part["counts"], strict=True):
+            at = np.frombuffer(own.as_buffer(), np.uint32)
+            total[at] = np.minimum(total[at] + np.frombuffer(counts.as_buffer(), np.uint8), 2)
+        return pa.table([part["chunk"][:1], pa.array([np.packbits(total == 2, bitorder="little").tobytes()]), pa.array([b""])], schema=arrow)
+
+    rows = in_arrow(texts, build, schema).groupBy("chunk").applyInArrow(merge, schema).select("chunk", "cells").collect()
     whole = np.zeros(DEPTH * cells // 8, np.uint8)
     for row in rows:
-        whole[row["chunk"] * CHUNK_BYTES : row["chunk"] * CHUNK_BYTES + len(row["twice"])] = np.frombuffer(row["twice"], np.uint8)
+        whole[row["chunk"] * CHUNK // 8 : row["chunk"] * CHUNK // 8 + len(row["cells"])] = np.frombuffer(row["cells"], np.uint8)
     return whole.reshape(DEPTH, -1)
 
 
@@ -205,7 +202,7 @@ def candidates(texts: DataFrame, sent, cells: int) -> DataFrame:
     """(high, low, doc_id, tag_place) of each window that may be repeated: its 128-bit digest, its document, and tag << 32 | first word."""
     import xxhash
 
-    schema = "high long, low long, doc_id long, tag_place long"
+    schema = f"high long, low long, doc_id {texts.schema['doc_id'].dataType.simpleString()}, tag_place long"
     arrow = schema_of(texts.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,32 +223,36 @@ def candidates(texts: DataFrame, sent, cells: int) -> DataFrame:
     return in_arrow(texts, run, schema)
 
 
-def _without(texts: DataFrame, copies: DataFrame, n: int) -> DataFrame:
-    return texts.join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies, (texts["doc_id"] == copies["copy_id"]) & (texts["tag"] == copies["copy_tag"]), "left_anti")
+def _grouped(rows: DataFrame, *by: str) -> DataFrame:
+    """Keys that two documents or more have: with the least id, and how many rows. A null id is greater than all others."""
+    found = rows.groupBy(*by).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.max(F.col("doc_id").isNull()).alias("none"), F.count(F.lit(1)).alias("n"))
+    return found.filter("first_id < last_id OR none AND first_id IS NOT NULL").select(*by, "first_id", "n")
+
+
+LATER = "doc_id > first_id OR doc_id IS NULL"
 
 
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, tag, text, places): each document's windows, by first word, that also start in a document of a smaller id. Copies of a whole text have places null and `first_id`, the least id of that text."""
+    """(doc_id, tag, text, places): each document's windows, by first word, that also start in a document of a smaller id. Copies of a whole text have the one place -1."""
     spark = df.sparkSession
-    # A null id comes after all others.
-    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("tag", F.crc32(F.col("text").cast("binary")).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    digests = stored(rows.select("doc_id", "tag", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), F.length("text").alias("chars")))
-    groups = stored(digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id"))
-    copies = stored(digests.join(groups, "digest").filter("doc_id > first_id").select(F.col("doc_id").alias("copy_id"), F.col("tag").alias("copy_tag")).distinct())
+    digests = stored(rows.select("doc_id", "tag", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), F.length("text").alias("chars")))
+    groups = stored(_grouped(digests, "digest"))
+    copies = stored(meet_in_one(digests, groups, ["digest"]).filter(LATER).select(F.col("doc_id").alias("copy_id"), F.col("tag").alias("copy_tag")).distinct())
     size = digests.agg(F.sum("chars").alias("chars")).first()["chars"] or 0
-    n_copies = copies.count()
-    texts = _without(rows, copies, n_copies)
+    is_copy = F.col("doc_id").eqNullSafe(F.col("copy_id")) & (F.col("tag") == F.col("copy_tag"))
+    texts = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, is_copy, "left_anti")
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (4 * size // 30).bit_length()))  # about 6 characters a word, and a new least gram every 5 words
     sent = spark.sparkContext.broadcast(merged_sketch(texts.select("text"), cells))
     met = stored(candidates(texts.select("doc_id", "tag", "text"), sent, cells))
-    least = met.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    windows = stored(least.filter("first_id < last_id").select("high", "low", "first_id"))
-    hits = met.join(windows, ["high", "low"]).filter("doc_id > first_id").select("doc_id", "tag_place")
+    windows = stored(_grouped(met, "high", "low"))
+    hits = meet_in_one(met, windows, ["high", "low"]).filter(LATER).select("doc_id", "tag_place")
     places = stored(hits.groupBy("doc_id", F.shiftright("tag_place", 32).cast("int").alias("tag")).agg(F.collect_list(F.col("tag_place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("places")))
     forget(met, windows, digests, groups)
     marks = places.unionByName(copies.select(F.col("copy_id").alias("doc_id"), F.col("copy_tag").alias("tag"), F.array(F.lit(-1)).alias("places")))
-    return rows.join(marks, ["doc_id", "tag"], "left")
+    marks = marks.select(F.col("doc_id").alias("copy_id"), F.col("tag").alias("copy_tag"), "places")
+    return rows.join(marks, is_copy, "left").select("doc_id", "tag", "text", "places")
 
 
 def strip(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -259,15 +260,17 @@ def strip(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     A word goes if it is covered by a window of 13 words that also starts in a document of a smaller
     id. Null texts have no words; texts of fewer than 13 words keep theirs; rows that share an id are
-    one document for the comparison and rows each in the result; a null id is greater than all
-    others; an empty table gives no rows. Other columns are not read.
+    one document for the comparison and rows each in the result; ids are numbers or text, a null id
+    is greater than all others; an empty table gives no rows. Other columns are not read.
     """
-    return map_columns(repeated(df, key, text), lambda x: _stripped(x, False), "doc_id long, n_words long, n_removed long, kept string")
+    kind = df.schema[key].dataType.simpleString()
+    return map_columns(repeated(df, key, text), lambda x: _stripped(x, False), f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As strip(), but with the SHA-256 of the kept text in its place."""
-    return map_columns(repeated(df, key, text), lambda x: _stripped(x, True), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    kind = df.schema[key].dataType.simpleString()
+    return map_columns(repeated(df, key, text), lambda x: _stripped(x, True), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def _stripped(x: dict, digest: bool) -> dict:
@@ -286,7 +289,7 @@ def _stripped(x: dict, digest: bool) -> dict:
         else:
             left = words
         line = b" ".join(left)
-        ids.append(None if doc_id == (1 << 63) - 1 else doc_id)
+        ids.append(doc_id)
         n_words.append(n)
         n_removed.append(n - len(left))
         kept.append(hashlib.sha256(line).hexdigest() if digest else line.decode("utf-8", "surrogatepass"))

@@ -215,9 +215,12 @@ def test_fifty_thousand_fingerprints_of_one_key(spark):
 def test_hot_keys_are_met_by_broadcast(spark):
     rows = common.stored(spark.createDataFrame([(i % 5 if i % 3 else 0, i) for i in range(3000)] + [(k, k) for k in range(100, 4000)], "k long, value long"))
     values = common.stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("more", F.col("k") * 2))
-    found = common.meet(rows, values, ["k"])
-    assert found.columns == ["k", "value", "n", "more"]
-    assert bag(found.select("k", "value", "more").collect()) == bag((r["k"], r["value"], 2 * r["k"]) for r in rows.collect())
+    some = common.stored(values.filter("k <> 1 AND k < 3900"))  # hot and other keys without a value
+    for meet in (common.meet, common.meet_in_one):
+        found = meet(rows, values, ["k"])
+        assert found.columns == ["k", "value", "more"]
+        assert bag(found.select("k", "value", "more").collect()) == bag((r["k"], r["value"], 2 * r["k"]) for r in rows.collect())
+        assert bag(meet(rows, some, ["k"]).collect()) == bag((r["k"], r["value"], 2 * r["k"]) for r in rows.collect() if r["k"] != 1 and r["k"] < 3900)
     common.forget(rows, values)
 
 
@@ -661,6 +664,24 @@ def test_substrings(docs, none, spark, sf, monkeypatch):
     assert substrings.strip(none).count() == 0
 
 
+def test_substrings_of_text_ids_and_the_greatest_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    for kind, ids in (("long", [(1 << 63) - 1, None, 5, None]), ("string", ["b", "a", None, "z"])):
+        rows = list(zip(ids, [text, "x " + text, text + " y", text], strict=True))
+        found = {(r["doc_id"], r["n_removed"]) for r in substrings.digests(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()}
+        assert found == ({(5, 0), ((1 << 63) - 1, 40), (None, 40)} if kind == "long" else {("a", 0), ("b", 40), ("z", 40), (None, 40)})
+
+
+def test_sketch_sums_up_partitions(spark):
+    cells = substrings.CHUNK  # so that there is more than one chunk
+    lines = [" ".join(f"v{k * 50 + j}" for j in range(30)) for k in range(40)]
+    df = spark.createDataFrame([(t,) for t in lines + lines[:7]], "text string").repartition(5)
+    bitmaps = substrings.merged_sketch(df, cells)
+    every = lambda t: (lambda own: substrings.least_grams(substrings.word_hashes(own.line, own.starts, own.ends)))(substrings.laid_out([t]))
+    assert all(substrings.twice(bitmaps, every(t), cells).all() for t in lines[:7])
+    assert np.mean([substrings.twice(bitmaps, every(t), cells).mean() for t in lines[7:]]) < 0.01
+
+
 def test_words_are_laid_out_as_they_are_split(monkeypatch):
     texts = [t for _, t, _, _ in texts_of()] + ["\x0b lead", "tail \x0c\r\n", "a\x85b c\xa0d \u2003 e", "x" * 500 + " y"]
     own = substrings.laid_out(texts)
